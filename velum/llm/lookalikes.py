@@ -84,7 +84,7 @@ def _canonicalise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         part = pa.table({"original": batch.column(batch.num_columns - 1), "n": pa.array(range(batch.num_rows), pa.int32())})
         con.register("part", part)
-        canonical = con.execute(query).to_arrow_table().column(0).combine_chunks().cast(pa.string())
+        canonical = con.sql(query).to_arrow_table().column(0).combine_chunks().cast(pa.string())
         con.unregister("part")
         yield pa.RecordBatch.from_arrays([*batch.columns, canonical], names=[*batch.schema.names, "canonical"])
 
