@@ -36,9 +36,9 @@ _BLOCKS = r"""
 WITH docs AS (SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC NULLS LAST, text DESC) AS rn FROM documents_in) WHERE rn = 1 AND length(text) > 3000),
 parts AS (SELECT doc_id, text, unnest(regexp_extract_all(text || chr(10) || chr(10), '(?s)(.*?)((?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+)', 0)) AS part,
                  generate_subscripts(regexp_extract_all(text || chr(10) || chr(10), '(?s)(.*?)((?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+)', 0), 1) AS k FROM docs),
-placed AS (SELECT doc_id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM parts),
-trimmed AS (SELECT doc_id, at, regexp_replace(part, '(?s)(?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+$', '') AS body FROM placed),
-cut AS (SELECT doc_id, at + length(body) - length(ltrim(body, chr(10) || chr(13))) AS start_pos, trim(body, chr(10) || chr(13)) AS body FROM trimmed)
+placed AS (SELECT doc_id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM parts),
+trimmed AS (SELECT doc_id, pos, regexp_replace(part, '(?s)(?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+$', '') AS body FROM placed),
+cut AS (SELECT doc_id, pos + length(body) - length(ltrim(body, chr(10) || chr(13))) AS start_pos, trim(body, chr(10) || chr(13)) AS body FROM trimmed)
 SELECT DISTINCT doc_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(start_pos + length(body) AS INTEGER) AS end_pos FROM cut WHERE length(body) > 3000
 """
 
