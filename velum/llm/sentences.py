@@ -32,7 +32,7 @@ _NO_STOP = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _TOKEN = regex.compile(
     rf"(?P<mail>[\w.+'-]+(?:\s?@\s?|\s?\(at\)\s?)[\w-]+(?:\.[\w-]+)+|https?://\S+?(?=[.,;:!?)»\"]*(?:\s|$)))"
-    rf"|(?P<dotted>(?:\p{{L}}{{1,3}}\.\s?){{1,}}\p{{L}}{{1,3}}\.(?!\p{{L}}))"
+    rf"|(?P<dotted>(?:\p{{L}}{{1,3}}\.(?:\s(?=\p{{L}}\.))?)+\p{{L}}{{1,3}}\.(?!\p{{L}}))"
     rf"|(?P<num>\d+(?:[.,:/\-](?:\d+|\p{{Lu}}\b))*(?:º|ª|°|\p{{L}}{{1,3}}\b)?)"
     rf"|(?P<thai>[{_NO_STOP}\p{{M}}]+)"
     rf"|(?P<wide>[{_WIDE}ー々]+)"

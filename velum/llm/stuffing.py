@@ -90,7 +90,7 @@ def page_measures(docs: DataFrame) -> DataFrame:
             (SELECT doc_id, lang, least(q, 0.999D) AS q, least(mass, q, 0.999D) AS m FROM hits)
         ), best AS (
           SELECT doc_id, min_by(lang, struct(divergence, lang)) AS lang, min(divergence) AS divergence FROM langs GROUP BY doc_id
-        ), known AS (SELECT script, max(mass) AS q FROM velum_p10_prose GROUP BY script)
+        ), known AS (SELECT script, least(max(mass), 0.999D) AS q FROM velum_p10_prose GROUP BY script)
         SELECT c.doc_id, coalesce(b.lang, IF(k.q IS NULL, 'und', 'none')) AS lang, c.total, c.slope, c.residual,
                ln(c.types) / ln(greatest(c.total, 2)) AS reach,
                coalesce(b.divergence, k.q * ln(k.q * 2 * c.total) + (1 - k.q) * ln(1 - k.q), 0.0D) AS divergence
@@ -112,7 +112,7 @@ def stuffed(docs: DataFrame) -> DataFrame:
         for m in ("slope", "residual", "reach", "divergence")
     )
     # 'none' shares no common word with a language of its script, 'und' has a script of no known language: compared with all pages
-    pick = lambda m, s: f"CASE WHEN p.lang IN ('und', 'none') THEN a.{m}_{s} WHEN k.pages >= {LEAST_CLASS} THEN k.{m}_{s} ELSE l.{m}_{s} END"
+    pick = lambda m, s: f"CASE WHEN p.lang IN ('und', 'none') THEN coalesce(a.{m}_{s}, b.{m}_{s}) WHEN k.pages >= {LEAST_CLASS} THEN k.{m}_{s} ELSE l.{m}_{s} END"
     chance = f"{LEAST_DIVERGENCE} + {CHANCE} / p.total"
     beyond = lambda m, sign, least: f"{sign}(p.{m} - {pick(m, 'mid')}) > greatest({FAR} * {pick(m, 'dev')}, {least})"
     return docs.sparkSession.sql(
@@ -120,8 +120,9 @@ def stuffed(docs: DataFrame) -> DataFrame:
         WITH p AS (SELECT *, CAST(log2(total) AS INT) AS size FROM velum_p10_pages WHERE total >= {LEAST_WORDS}),
         k AS (SELECT lang, size, count(*) AS pages, {stats} FROM p GROUP BY lang, size),
         l AS (SELECT lang, {stats} FROM p GROUP BY lang),
-        a AS (SELECT size, {stats} FROM p WHERE lang NOT IN ('und', 'none') GROUP BY size)
-        SELECT DISTINCT p.doc_id FROM p JOIN k ON p.lang = k.lang AND p.size = k.size JOIN l ON p.lang = l.lang LEFT JOIN a ON p.size = a.size
+        a AS (SELECT size, {stats} FROM p WHERE lang NOT IN ('und', 'none') GROUP BY size),
+        b AS (SELECT {stats} FROM p WHERE lang NOT IN ('und', 'none'))
+        SELECT DISTINCT p.doc_id FROM p JOIN k ON p.lang = k.lang AND p.size = k.size JOIN l ON p.lang = l.lang LEFT JOIN a ON p.size = a.size LEFT JOIN b ON true
         WHERE p.lang <> 'und' AND {beyond("divergence", "", chance)}
            OR p.divergence - {pick("divergence", "mid")} > {RISE} AND ({beyond("slope", "-", LEAST_SLOPE)}
            OR {beyond("residual", "", LEAST_RESIDUAL)} OR {beyond("reach", "-", LEAST_REACH)})
