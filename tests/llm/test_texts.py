@@ -270,6 +270,7 @@ def test_leaks(spark):
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()] + [(0, " ".join(docs[0])), (8, None), (9, "")], "doc_id long, text string")
     it = spark.createDataFrame([(i, " ".join(d)) for i, d in items.items()] + [(77, None), (78, "")], "item_id long, text string")
     assert {tuple(x) for x in leakage.leaks(df, it).collect()} == {(0, 0), (1, 1), (2, 2), (4, 4)}
+    assert {tuple(x) for x in leakage.leaks(df, it, in_memory=0).collect()} == {(0, 0), (1, 1), (2, 2), (4, 4)}
     assert leakage.leaks(df, it.limit(0)).count() == 0 and leakage.leaks(df.limit(0), it).count() == 0
 
 

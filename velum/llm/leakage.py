@@ -8,6 +8,7 @@ passages cover at least half of its words, in whatever order they stand.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.sources.tables import load, spread
+from velum.sources.tables import load, publish, spread
 
 #: Words of a seed; least words of a tile; words by which neighbouring tiles may be apart; passage and cover limits.
 SEED, TILE, GAP = 5, 3, 4
@@ -30,7 +31,8 @@ SLACK = 2
 #: Seeds of all items that tasks may hold at once (8 bytes each); beyond it seeds are joined by shuffle.
 SEEDS_IN_MEMORY = 4_000_000
 
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -40,15 +42,28 @@ def words(text: str | None) -> list[str]:
         return []
     plain = unicodedata.normalize("NFKD", text).casefold()
     if not plain.isascii():
-        plain = "".join(c for c in plain if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        plain = _MARKS.sub("", plain)
     return _WORD.findall(plain)
 
 
+class _Codes(dict):
+    """Codes of words met before; forgotten when they grow too many."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+
+_codes = _Codes()
+
+
 def word_codes(ws: list[str]) -> np.ndarray:
     """64-bit codes of words, the same in every process."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in ws), np.uint64, len(ws))
+    return np.fromiter(map(_codes.__getitem__, ws), np.uint64, len(ws))
 
 
 def seeds(codes: np.ndarray, size: int = SEED) -> np.ndarray:
@@ -200,24 +215,87 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id"])
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+class _Items:
+    """Items held in memory: their words as codes, places of their seeds, and all seeds sorted with their items."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        self.ids: list[int] = []
+        self.codes: list[list[int]] = []
+        self.places: list[dict[int, list[int]]] = []
+        self.least: list[int] = []
+        seed, owner = [], []
+        for item_id, text in rows:
+            codes = word_codes(words(text))
+            at: dict[int, list[int]] = defaultdict(list)
+            for k, h in enumerate(seeds(codes).tolist()):
+                at[h].append(k)
+            seed.extend(at)
+            owner.extend([len(self.ids)] * len(at))
+            self.ids.append(item_id)
+            self.codes.append(codes.tolist())
+            self.places.append(at)
+            self.least.append(max(1, int(SEEDED * (COVER * len(codes) - SLACK))))
+        order = np.argsort(np.array(seed, np.uint64), kind="stable")
+        self.seed, self.owner = np.array(seed, np.uint64)[order], np.array(owner, np.int64)[order]
+
+    def held_by(self, text: str) -> Iterator[int]:
+        """Ids of the items that a text holds."""
+        array = word_codes(words(text))
+        hashes = seeds(array)
+        unique = np.unique(hashes)
+        left = np.searchsorted(self.seed, unique, "left")
+        right = np.searchsorted(self.seed, unique, "right")
+        hit = right > left
+        if not hit.any():
+            return
+        counts = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(left[hit], right[hit], strict=True)]))
+        codes, listed = array.tolist(), hashes.tolist()
+        for k in np.flatnonzero(counts).tolist():
+            if counts[k] >= self.least[k]:
+                part = seeded_part(self.places[k], listed, COVER * len(self.codes[k]) - SLACK)
+                if part and leaked(self.codes[k], codes[slice(*part)]):
+                    yield self.ids[k]
+
+
+_items: dict[str, _Items] = {}
+
+
+def _held(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    import pickle
+
+    from pyspark import SparkFiles
+
+    if name not in _items:
+        _items.clear()
+        with open(SparkFiles.get(name), "rb") as f:
+            _items[name] = _Items(pickle.load(f))  # noqa: S301 - written by leaks of this run
+    items = _items[name]
+    for batch in batches:
+        rows = [(doc, k) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in items.held_by(text)]
+        cols = list(zip(*rows, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id"])
+
+
+def leaks(docs: DataFrame, items: DataFrame, in_memory: int = SEEDS_IN_MEMORY) -> DataFrame:
     """(doc_id, item_id): the documents that hold an item, or passages of at least half of its words.
 
     docs(doc_id, text), items(item_id, text). Null, empty and blank texts hold nothing and are held by nothing;
-    items of fewer than SEED words have no seed and match nothing; repeated rows count once. A pair is
-    tiled if it shares SEEDED of the seeds needed, and a seed that many documents share (a stock formula) only makes more candidates: no
-    bucket is capped.
+    items of fewer than SEED words have no seed and match nothing; repeated rows count once. A pair is tiled if it
+    shares SEEDED of the seeds needed; a seed that many documents share (a stock formula) only makes more
+    candidates: no bucket is capped. Items of at most `in_memory` seeds are handed to the tasks, which read each
+    document once and move nothing; more are joined with the documents on their seeds.
     """
     docs = docs.select("doc_id", "text").filter("text is not null")
     items = items.select("item_id", F.col("text").alias("item")).filter("item is not null").dropDuplicates(["item_id", "item"])
     seeded = items.mapInArrow(_item_seeds, "item_id long, seed long, least int")
-    distinct = seeded.select("seed").distinct()
-    held = [r.seed for r in distinct.limit(SEEDS_IN_MEMORY + 1).collect()]
-    known = np.sort(np.array(held, np.int64)) if 0 < len(held) <= SEEDS_IN_MEMORY else None
-    if not held:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    marked = spread(docs).mapInArrow(lambda it: _doc_seeds(it, shared.value), "doc_id long, seed long")
+    if seeded.limit(in_memory + 1).count() <= in_memory:
+        import pickle
+
+        # items without a seed stay out, so the words handed on are at most five times the seeds
+        wanted = items.join(seeded.select("item_id").distinct(), "item_id", "left_semi")
+        name = publish(docs.sparkSession, pickle.dumps([tuple(r) for r in wanted.collect()], 5), ".items")
+        return spread(docs).mapInArrow(lambda it: _held(it, name), "doc_id long, item_id long").distinct()
+    marked = spread(docs).mapInArrow(lambda it: _doc_seeds(it, None), "doc_id long, seed long")
     pairs = marked.join(seeded, "seed").groupBy("doc_id", "item_id").agg(F.countDistinct("seed").alias("n"), F.max("least").alias("least")).filter("n >= least")
     of_doc = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     return docs.join(of_doc, "doc_id").select("doc_id", "text", "items").mapInArrow(_verify, "doc_id long, item_id long").distinct()
