@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from velum.sources.tables import load, saved
 
 #: A word: a run of letters; single characters in scripts that write no blanks; a link or tag counts as a link.
-WORD = r"<[^<>]{1,1000}>|(?:https?://|www\.)\S+|[\p{L}\p{N}-]+\.[a-z]{2,}/\S+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}]+"
+WORD = r"<[^<>]{1,1000}>|(?:https?://|www\.)\S+|[\p{L}\p{N}-]++\.[a-z]{2,}+/\S+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}]++"
+#: Last code points of the blocks that tell scripts; fixed values.
+_BLOCKS = ((0x36F, "Latin"), (0x3FF, "Greek"), (0x52F, "Cyrillic"), (0x58F, "other"), (0x5FF, "Hebrew"), (0x77F, "Arabic"), (0x8FF, "other"), (0x97F, "Devanagari"), (0xDFF, "other"), (0xE7F, "Thai"), (0x1DFF, "other"), (0x1EFF, "Latin"), (0x1FFF, "Greek"), (0x303F, "other"), (0x30FF, "Kana"), (0x4DFF, "other"), (0x9FFF, "Han"), (0xABFF, "other"), (0xD7AF, "Hangul"))
 #: The script of a word, by its first character; links have none.
-SCRIPT = "CASE WHEN word = '<link>' THEN '' " + " ".join(f"WHEN word RLIKE '^\\\\p{{Is{s}}}' THEN '{s}'" for s in ("Latin", "Cyrillic", "Greek", "Arabic", "Han", "Hiragana", "Katakana", "Thai", "Devanagari", "Hebrew", "Hangul")) + " ELSE 'other' END"
+SCRIPT = "CASE WHEN word = '<link>' THEN '' " + " ".join(f"WHEN ascii(word) <= {last} THEN '{name}'" for last, name in _BLOCKS) + " ELSE 'other' END"
 #: Share of a language's pages that hold a word for it to count as common, and pages needed for a language.
 COMMON_SHARE = 0.3
 LEAST_PAGES = 8
@@ -44,7 +46,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         WITH words AS (
           SELECT doc_id, lang, explode(regexp_extract_all(lower(text), '{WORD.replace(chr(92), chr(92) * 2)}', 0)) AS raw FROM velum_p10_docs
         ), counts AS (
-          SELECT doc_id, min(lang) AS lang, IF(raw RLIKE '[/.<]', '<link>', raw) AS word, count(*) AS n FROM words GROUP BY doc_id, IF(raw RLIKE '[/.<]', '<link>', raw)
+          SELECT doc_id, lang, IF(raw RLIKE '[/.<]', '<link>', raw) AS word, count(*) AS n FROM words GROUP BY doc_id, lang, IF(raw RLIKE '[/.<]', '<link>', raw)
         )
         SELECT doc_id, lang, word, n, sum(n) OVER (PARTITION BY doc_id) AS total,
                {SCRIPT} AS script, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank
@@ -62,7 +64,7 @@ def page_measures(docs: DataFrame) -> DataFrame:
         f"""
         WITH pages AS (SELECT lang, count(*) AS pages FROM velum_p10_words WHERE rank = 1 AND lang IS NOT NULL GROUP BY lang),
         shares AS (
-          SELECT lang, word, count(DISTINCT doc_id) AS df, sum(n / total) AS mass FROM velum_p10_words
+          SELECT lang, word, count(*) AS df, sum(n / total) AS mass FROM velum_p10_words
           WHERE lang IS NOT NULL AND word <> '<link>' GROUP BY lang, word
         ), common AS (
           SELECT s.lang, s.word, s.mass / p.pages AS q FROM shares s JOIN pages p ON s.lang = p.lang
