@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velum.functions.lexicons import CAPITALS_BLOCKED
 from velum.functions.patterns import PATTERNS, Pattern
 from velum.functions.text import SPACES, WS, java, literal_count, trim_all
+from velum.sources.tables import spread
 
 MATCH = "array<struct<stage:int,pattern:string,place:int,ord:int,raw:string,type:string>>"
 
@@ -55,7 +56,7 @@ def with_matches(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text
 
 def matches(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """(doc_id, stage, pattern, ord, raw, type), one row per accepted match."""
-    return with_matches(docs.select("doc_id", "text"), patterns).select("doc_id", F.inline("matches")).select("doc_id", "stage", "pattern", "ord", "raw", "type")
+    return with_matches(spread(docs.select("doc_id", "text")), patterns).select("doc_id", F.inline("matches")).select("doc_id", "stage", "pattern", "ord", "raw", "type")
 
 
 def first_matches(c: Column) -> Column:
@@ -69,7 +70,7 @@ def entities(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataF
 
     Null and empty texts have none; equal counts keep the order of detection; extra columns are ignored.
     """
-    found = with_matches(docs.select("doc_id", "text"), patterns).withColumn("firsts", first_matches(F.col("matches")))
+    found = with_matches(spread(docs.select("doc_id", "text")), patterns).withColumn("firsts", first_matches(F.col("matches")))
     counted = F.transform(
         "firsts",
         lambda m, i: F.struct((-literal_count(F.col("text"), m["raw"])).alias("less"), i.alias("i"), m["type"].alias("type"), m["raw"].alias("original_text")),

@@ -323,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "review_counts": f"WITH {ENTS} SELECT doc_id, count(*) FILTER (WHERE confirmed) AS confirmed, count(*) AS entities FROM ents GROUP BY doc_id",
         "quote_normalise": f"SELECT doc_id, translate(text, {q(tx.QUOTES_FROM)}, {q(tx.QUOTES_TO)}) AS text FROM documents",
         "redact_text": f"WITH {DOCS}, {ENTS}, e AS (SELECT doc_id, list(struct_pack(t := '', n := 0, o := {plain('original_text')}, p := coalesce(pseudonym, '')) ORDER BY length(original_text) DESC, entity_id) AS es FROM ents WHERE confirmed AND original_text <> '' GROUP BY doc_id), r AS (SELECT d.doc_id, {fold} AS r FROM docs d LEFT JOIN e ON d.doc_id = e.doc_id WHERE d.text IS NOT NULL) SELECT doc_id, r.t AS text, r.n AS entities_replaced FROM r",
-        "flagship": f"WITH m AS ({sql_matches(BY_NAME['email'], 0, 'documents')}), f AS (SELECT * FROM (SELECT *, lower(raw) AS key, row_number() OVER (PARTITION BY doc_id, lower(raw) ORDER BY ord) AS k FROM m) WHERE k = 1), c AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY {COUNT.format(x='f.raw')} DESC, f.ord) AS seq FROM f JOIN documents d ON f.doc_id = d.doc_id), g AS (SELECT key, min(struct_pack(a := doc_id, b := seq)) AS arrived FROM c GROUP BY key), p AS (SELECT key, 'EMAIL_' || lpad(CAST(row_number() OVER (ORDER BY arrived) AS VARCHAR), greatest(3, length(CAST(row_number() OVER (ORDER BY arrived) AS VARCHAR))), '0') AS pseudonym FROM g), e AS (SELECT c.doc_id, list(struct_pack(t := '', n := 0, o := {plain('c.raw')}, p := p.pseudonym) ORDER BY length(c.raw) DESC, c.seq) AS es FROM c JOIN p ON c.key = p.key GROUP BY c.doc_id) SELECT doc_id, r.t AS text, r.n AS entities_replaced FROM (SELECT d.doc_id, {fold} AS r FROM documents d JOIN e ON d.doc_id = e.doc_id)",
+        "flagship": f"WITH m AS ({sql_matches(BY_NAME['email'], 0, 'documents')}), f AS (SELECT * FROM (SELECT *, lower(raw) AS key, row_number() OVER (PARTITION BY doc_id, lower(raw) ORDER BY ord) AS k FROM m) WHERE k = 1), c AS (SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY {COUNT.format(x='f.raw')} DESC, f.ord) AS seq FROM f JOIN documents d ON f.doc_id = d.doc_id), g AS (SELECT key, min(struct_pack(a := doc_id, b := seq)) AS arrived FROM c GROUP BY key), p AS (SELECT key, 'EMAIL_' || lpad(CAST(row_number() OVER (ORDER BY arrived) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (ORDER BY arrived) AS VARCHAR))) AS INTEGER), '0') AS pseudonym FROM g), e AS (SELECT c.doc_id, list(struct_pack(t := '', n := 0, o := {plain('c.raw')}, p := p.pseudonym) ORDER BY length(c.raw) DESC, c.seq) AS es FROM c JOIN p ON c.key = p.key GROUP BY c.doc_id) SELECT doc_id, r.t AS text, r.n AS entities_replaced FROM (SELECT d.doc_id, {fold} AS r FROM documents d JOIN e ON d.doc_id = e.doc_id)",
         "redacted_pseudonyms": f"WITH {ENTS} SELECT doc_id, count(DISTINCT pseudonym) AS pseudonyms FROM ents WHERE confirmed GROUP BY doc_id",
         "detect_format": f"WITH {DOCS} SELECT doc_id, {sql_case(suffix, FORMATS, q('txt'))} AS detected FROM docs",
         "allowed_suffix": f"WITH {DOCS} SELECT doc_id, coalesce(contains(path, '.') AND {suffix} IN {sql_list(ALLOWED_SUFFIXES)}, false) AS allowed FROM docs",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from velum.functions.patterns import PATTERNS, Pattern
 from velum.operators import extract, pseudonyms, redact, resolve, review
 from velum.operators.spans import aggregate_tokens, filter_spans
-from velum.sources.tables import saved
+from velum.sources.tables import saved, spread
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def analyze(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, tokens: D
     Patterns first; spans of a model's `tokens` and `names`(doc_id, chunk, idx, original, replacement, type) of a
     language model are added where their text is new. Names that are one, absent or noisy are then resolved.
     """
-    base = extract.with_matches(docs.select("doc_id", "text"), patterns).select("doc_id", F.inline(extract.first_matches(F.col("matches"))))
+    base = extract.with_matches(spread(docs.select("doc_id", "text")), patterns).select("doc_id", F.inline(extract.first_matches(F.col("matches"))))
     rows = base.select("doc_id", F.struct("stage", "place", "ord").alias("at"), "type", F.col("raw").alias("original_text"), F.lit(None).cast("string").alias("replacement"))
     if tokens is not None:
         spans = filter_spans(aggregate_tokens(tokens))

@@ -28,10 +28,18 @@ def isinstance_map(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() == "map"
 
 
+#: Bytes of (compressed) input a task gets before `spread` leaves the partitions as they are.
+BYTES_A_TASK = 32 << 20
+
+
 def spread(df: DataFrame, factor: int = 3) -> DataFrame:
-    """Round-robin over more tasks when a few files would leave cores idle; large inputs stay as they are."""
+    """Round-robin over more tasks where a small input would leave cores idle; large inputs stay as they are.
+
+    Decided by the plan's estimate of its size, which runs nothing.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * BYTES_A_TASK:
         return df
     return df.repartition(factor * cores)
 
