@@ -12,6 +12,7 @@ import base64
 import heapq
 import mmap
 import os
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,12 @@ LEXICON_WORDS = 40_000
 #: Distinct pre-tokens a task gathers before it hands partial counts on.
 FLUSH = 300_000
 MAGIC = b"VLX1"
+#: Single blanks between other characters: a pre-token always begins there, so texts may be cut at them.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Stretches between such blanks whose ids a task keeps.
+KEPT = 400_000
+#: Bytes up to which a word is merged by looking at all pairs again; longer ones keep a heap.
+SHORT = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +54,18 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT:
+        pieces = [word[i : i + 1] for i in range(n)]
+        while len(pieces) > 1:
+            best, at = None, -1
+            for i in range(len(pieces) - 1):
+                r = ranks.get(pieces[i] + pieces[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
+                break
+            pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+        return [ranks[p] for p in pieces]
     parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -140,8 +159,9 @@ class Lexicon:
         self.root, *sizes = struct.unpack_from("<I7I", self.map, 4)
         at = 4 + 32
         views = []
-        for size, kind in zip(sizes, ("<u4",) * 5 + ("u1", "u1"), strict=True):
-            views.append(np.frombuffer(self.map, kind, size // np.dtype(kind).itemsize, at))
+        whole = memoryview(self.map)
+        for size, kind in zip(sizes, "IIIIIBB", strict=True):
+            views.append(whole[at : at + size].cast(kind))
             at += size
         self.start, self.target, self.skip, self.offset, self.ids, self.final, _ = views
         self.labels_at = at - sizes[-1]
@@ -150,52 +170,91 @@ class Lexicon:
         state, number, find, at = self.root, 0, self.map.find, self.labels_at
         start, target, skip = self.start, self.target, self.skip
         for i in range(len(word)):
-            arc = find(word[i : i + 1], at + int(start[state]), at + int(start[state + 1])) - at
+            arc = find(word[i : i + 1], at + start[state], at + start[state + 1]) - at
             if arc < 0:
                 return None
-            number += int(skip[arc])
+            number += skip[arc]
             state = target[arc]
         if not self.final[state]:
             return None
         return self.ids[self.offset[number] : self.offset[number + 1]].tolist()
 
 
+class _Worker:
+    """What a worker process keeps from task to task: the mapped lexicon, the ranks once needed, ids of stretches and words met."""
+
+    name = ""
+    lexicon: Lexicon
+    ranks: dict[bytes, int]
+    known: dict[str, list[int]]
+    words: dict[str, list[int]]
+
+    @classmethod
+    def of(cls, name: str) -> type[_Worker]:
+        if cls.name != name:
+            cls.name, cls.lexicon, cls.ranks, cls.known, cls.words = name, Lexicon(SparkFiles.get(name)), {}, {}, {}
+        return cls
+
+
 def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split = regex.compile(PATTERN).findall
-    counts: Counter[str] = Counter()
+    """(word, n) of each task: stretches are counted first, each different one is split into pre-tokens once."""
+    split, cut = regex.compile(PATTERN).findall, _CUT.split
+    first: Counter[str] = Counter()
+    rest: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
+        counts: Counter[str] = Counter()
+        for lead, stretches in (("", first), (" ", rest)):
+            for stretch, n in stretches.items():
+                for word in split(lead + stretch):
+                    counts[word] += n
+            stretches.clear()
         return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                counts.update(split(text.as_py()))
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
-    if counts:
+        for text in batch.column(0).to_pylist():
+            if text:
+                stretches = cut(text)
+                first[stretches[0]] += 1
+                rest.update(stretches[1:])
+        if len(first) + len(rest) > FLUSH:
+            yield out()
+    if first or rest:
         yield out()
 
 
 def encoder(name: str, ranks_path: str, ids_column: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(PATTERN).findall
-        lexicon = Lexicon(SparkFiles.get(name))
-        ranks: dict[bytes, int] = {}
+        split, cut = regex.compile(PATTERN).findall, _CUT.split
+        kept = _Worker.of(name)
+        find, known, met = kept.lexicon.find, kept.known, kept.words
+
+        def ids_of(stretch: str) -> list[int]:
+            ids: list[int] = []
+            for word in split(stretch):
+                if (found := met.get(word)) is None:
+                    raw = word.encode()
+                    if (found := find(raw)) is None:
+                        kept.ranks = kept.ranks or read_ranks(ranks_path)
+                        found = merge(raw, kept.ranks)
+                    met[word] = found
+                ids += found
+            return ids
+
         for batch in batches:
-            known: dict[str, list[int]] = {}
             offsets, values = [0], []
             for text in batch.column(1).to_pylist():
-                for word in split(text or ""):
-                    if (ids := known.get(word)) is None:
-                        raw = word.encode()
-                        if (ids := lexicon.find(raw)) is None:
-                            ranks = ranks or read_ranks(ranks_path)
-                            ids = merge(raw, ranks)
-                        known[word] = ids
-                    values.extend(ids)
+                if text:
+                    stretches = cut(text)
+                    values += ids_of(stretches[0])
+                    del stretches[0]
+                    for stretch in set(stretches).difference(known):
+                        known[stretch] = ids_of(" " + stretch)
+                    values.extend(chain.from_iterable(map(known.__getitem__, stretches)))
                 offsets.append(len(values))
+                if len(known) + len(met) > KEPT:
+                    known.clear()
+                    met.clear()
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", ids_column])
 
