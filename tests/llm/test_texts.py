@@ -213,6 +213,21 @@ def test_name_classes(spark):
     assert len({got["amb", i] for i in (900, 901, 902)}) == 3
 
 
+def test_popular_names_keep_their_links(spark):
+    rows = []
+    for c in range(30):  # the same parties in every proceeding
+        for k, n in enumerate(["Mario Rossi", "ROSSI MARIO", "M. Rossi", "Rossi", "Banca Valmora S.p.A.", "Banca Valmora", "Pievecorta", "Pievecorta"]):
+            rows.append((f"c{c}", c * 10 + k, n, 1, int(n == "Pievecorta")))
+        rows.append((f"c{c}", c * 10 + 8, f"Mario {'bcdfg'[c % 5]}e{'lmnpr'[c // 6]}ottini", 1, 0))
+    rows += [("e", 500, "Ermenegildo Rossi", 1, 0), ("e", 501, "Rossi", 1, 0), ("e", 502, "Banca", 1, 0), ("e", 503, "Rossi Ermenegildo", 1, 1)]
+    df = spark.createDataFrame(rows, "case_ref string, id long, name string, typed long, placed long")
+    got = {(r.case_ref, r.id): r.center for r in names._classed(df).collect()}
+    for c in range(30):
+        k = [got.get((f"c{c}", c * 10 + i)) for i in range(9)]
+        assert k[0] and k[0] == k[1] == k[2] == k[3] and k[4] and k[4] == k[5] and k[6] is None and k[7] is None and k[8] not in (None, k[0])
+    assert got["e", 500] == got["e", 501] == got["e", 503] != got["e", 502]
+
+
 # --- problem 8
 
 

@@ -3,7 +3,8 @@
 Within a proceeding each different string is one node. Nodes whose tokens share a MinHash band over padded q-grams
 (or the initials of a name) are compared by Monge-Elkan similarity over tokens; stars around the most complete
 spellings become the classes. Common given names and trades are learned from the corpus: words that occur in the
-names of many proceedings.
+names of many proceedings and mostly don't end a name, as family and company words do, however frequent. Commonness
+weighs words and orders blocking keys only; places are told by the rows' types.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from velum.sources.tables import latest, load, saved, spread
 Q, ROWS, MEET, RECALL = 2, 2, 0.35, 0.99
 #: Monge-Elkan similarity from which two names are the same.
 SAME = 0.8
-#: A word is common (a given name, a trade) if it occurs in this share of proceedings, and in at least so many.
+#: A word is common (a given name, a trade) if it occurs in this share of proceedings, in at least so many, and not mostly last.
 COMMON_SHARE, LEAST_CASES = 0.004, 4
 
+#: Fixed value: the type of entities_in that says place.
+PLACE = "LUOGO"
+
 #: Titles, courts and offices, particles of family names, words that say that no name was found.
 TITLES = "sig sigg signor signora sigra sig.ra sig.na dott dottssa dott.ssa dr drssa avv avvssa avv.ti ing geom prof profssa prof.ssa arch rag on notaio mr mrs ms herr frau dra me mme pr dr.".split()
 OFFICES = "tribunale corte procura giudice ufficio registro pretura questura ministero comune regione provincia prefettura agenzia camera cancelleria inps inail".split()
+ARTICLES = "il lo la i gli le l".split()
 PARTICLES = "di de del della dello dei degli delle dal dalla da la lo le li d dell dall san santa van von".split()
 NO_NAMES = ("non trovato", "non indicato", "nessuno", "ignoto", "sconosciuto", "omissis", "null", "none", "nd", "na")
 #: Legal forms, spelled out and in letters.
@@ -83,7 +88,7 @@ def parse(text: str) -> Name | None:
     words = re.findall(r"[^\W_]+", re.sub(r"\b((?:dott|prof|avv|sig|dr)\.?)\s*(?:ssa|ra|na|ti)\b", r"\1", s))
     while len(words) > 1 and words[0] in TITLES:
         words = words[1:]
-    if not words or words[0] in OFFICES or (words[0] in ("sentenza", "ricorso", "atto")):
+    if not words or words[0] in OFFICES or (words[0] in ARTICLES and words[1:2] and words[1] in OFFICES) or (words[0] in ("sentenza", "ricorso", "atto")):
         return None
     tokens: list[str] = []
     lead = ""
@@ -189,9 +194,9 @@ def same(a: Name, b: Name, common: frozenset[str] | set[str]) -> float:
         (rest_b if y in rest_b else rest_a).remove(y)
     if rest_a and rest_b:
         return 0.0
-    anchored = any(len(x) >= 4 and len(y) >= 4 and not (x in common and y in common) for x, y, _ in pairs)
-    if not anchored:
-        return 0.0
+    full = [(x, y) for x, y, _ in pairs if len(x) >= 4 and len(y) >= 4]
+    if not full or (rest_a or rest_b) and all(x in common and y in common for x, y in full):
+        return 0.0  # a given name or a trade alone tells no bearer; names that match in every word do
     short = min(len(a.tokens), len(b.tokens))
     if short > 1 and (rest_a or rest_b) and not (a.form or b.form):
         return 0.0  # one more given name
@@ -229,10 +234,10 @@ def band_keys(token: str) -> tuple[int, ...]:
 
 
 def keys(name: Name, common: frozenset[str] | set[str]) -> set[int]:
-    """Blocking keys: bands of every word that isn't a common one (of all, if all are), and the initials of organisations."""
+    """Blocking keys: bands of every word that isn't a common one (of all, if all are), the other words, and the initials of organisations."""
     long = [t for t in name.tokens if len(t) >= 3]
     rare = [t for t in long if t not in common and t not in _FULL] or long
-    out = {k for t in rare for k in band_keys(t)}
+    out = {k for t in rare for k in band_keys(t)} | {_code("word:" + t) - (1 << 63) for t in long if t in common or t in _FULL}
     if name.form:
         out.add(_code("initials:" + name.form + "".join(sorted(t[0] for t in name.tokens))) - (1 << 63))
     return out
@@ -240,43 +245,62 @@ def keys(name: Name, common: frozenset[str] | set[str]) -> set[int]:
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = latest(load(spark, sf_dir, "documents_in").select("doc_id", "case_ref", "loaded_at"), ["doc_id"], "loaded_at").filter("case_ref is not null").select("doc_id", "case_ref")
-    entities = load(spark, sf_dir, "entities_in").select(F.col("entity_id").alias("id"), "doc_id", F.col("original_text").alias("name"))
-    llm = load(spark, sf_dir, "llm_names").select(F.col("name_id").alias("id"), "doc_id", F.col("original").alias("name"))
-    return entities.unionByName(llm).filter("name is not null").distinct().join(cases, "doc_id").select("case_ref", "id", "name")
+    entities = load(spark, sf_dir, "entities_in").select(F.col("entity_id").alias("id"), "doc_id", F.col("original_text").alias("name"), "type")
+    llm = load(spark, sf_dir, "llm_names").select(F.col("name_id").alias("id"), "doc_id", F.col("original").alias("name"), F.lit(None).cast("string").alias("type"))
+    typed = entities.unionByName(llm).filter("name is not null").groupBy("id", "doc_id", "name").agg(F.count("type").alias("typed"), F.count_if(F.col("type") == PLACE).alias("placed"))
+    return typed.join(cases, "doc_id").select("case_ref", "id", "name", "typed", "placed")
 
 
 def _parsed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         names = [parse(s) for s in pdf["node"]]
         keep = [n is not None for n in names]
-        out = pdf.loc[keep, ["case_ref", "node"]].copy()
+        out = pdf.loc[keep].copy()
         out["tokens"] = [list(n.tokens) for n in names if n]
+        out["formed"] = [bool(n.form) for n in names if n]
         yield out
 
 
+def _words(parsed: DataFrame) -> DataFrame:
+    """(t, n, uses, last, longer, typed, placed) of every word of three letters or more: its proceedings, its names, those
+    it ends, those that hold more than it, and the types' votes."""
+    each = parsed.select("case_ref", "formed", "typed", "placed", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "t")).filter("length(t) > 2")
+    return each.groupBy("t").agg(
+        F.countDistinct("case_ref").alias("n"), F.count("*").alias("uses"), F.count_if(F.expr("pos = size - 1")).alias("last"),
+        F.count_if(F.expr("formed or size > 1")).alias("longer"), F.sum("typed").alias("typed"), F.sum("placed").alias("placed"),
+    )
+
+
+def _places(parsed: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(case_ref, node) of the places: names without a legal form, all of whose words the types mostly call places.
+
+    Where no row of a word is typed, a word of many proceedings that only ever stands alone is one.
+    """
+    told = words.filter(f"IF(typed > 0, 2 * placed > typed, longer = 0 and n >= {least})").select("t")
+    long = parsed.filter("not formed").select("case_ref", "node", F.expr("array_distinct(filter(tokens, t -> length(t) > 2))").alias("long"))
+    each = long.select("case_ref", "node", F.size("long").alias("size"), F.explode("long").alias("t")).join(told, "t")
+    return each.groupBy("case_ref", "node", "size").count().filter("count = size").select("case_ref", "node")
+
+
 def classes(names: DataFrame) -> DataFrame:
     """(case_ref, node, center, n_links) of every different canonical name of a proceeding; center is its class.
 
-    names(case_ref, id, name). Null, empty and nonsense names, courts, offices, places and rows without a case_ref are left
-    out. A spelling that fits several bearers (an initial, a bare family name) stays alone. Ties go to the more
-    complete spelling, then to the smaller string; repeated rows change nothing.
+    names(case_ref, id, name), and as far as known typed and placed, how many deliveries of the row have a type and how
+    many say place. Null, empty and nonsense names, courts, offices, places and rows without a case_ref are left out.
+    A spelling that fits several bearers (an initial, a bare family name) stays alone. Ties go to the more complete
+    spelling, then to the smaller string; repeated rows change nothing.
     """
-    spark = names.sparkSession
-    nodes = names.select("case_ref", F.col("canonical").alias("node")).distinct()
-    parsed = saved(spread(nodes).mapInPandas(_parsed, "case_ref string, node string, tokens array<string>"), "p7-names")
+    for vote in ("typed", "placed"):
+        if vote not in names.columns:
+            names = names.withColumn(vote, F.lit(0).cast("long"))
+    nodes = names.groupBy("case_ref", F.col("canonical").alias("node")).agg(F.sum("typed").alias("typed"), F.sum("placed").alias("placed"))
+    parsed = saved(spread(nodes).mapInPandas(_parsed, "case_ref string, node string, typed long, placed long, tokens array<string>, formed boolean"), "p7-names")
     cases = parsed.select("case_ref").distinct().count()
     least = max(LEAST_CASES, COMMON_SHARE * cases)
+    words = saved(_words(parsed), "p7-words")
     # bounded: a word in 0.4 % of all proceedings; a proceeding's names hold a few dozen words
-    common = frozenset(
-        r.t for r in parsed.select("case_ref", F.explode("tokens").alias("t")).filter("length(t) > 2").groupBy("t").agg(F.countDistinct("case_ref").alias("n")).filter(F.col("n") >= least).select("t").collect()
-    )
-
-    def bearers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # a name of common words only, without a legal form, is a place's or no name
-            keep = [bool(n.form) or any(t not in common and len(t) > 2 for t in n.tokens) for n in map(parse, pdf["node"])]
-            yield pdf.loc[keep]
-
-    parsed = parsed.select("case_ref", "node").mapInPandas(bearers, "case_ref string, node string")
+    common = frozenset(r.t for r in words.filter((F.col("n") >= least) & (2 * F.col("last") <= F.col("uses"))).select("t").collect())
+    parsed = parsed.join(_places(parsed, words, least), ["case_ref", "node"], "left_anti")
 
     def blocked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
