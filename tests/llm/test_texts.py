@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark import SparkFiles
 
 from velum.llm import leakage, lexicon, lookalikes, markup, names, pieces, pii, pii_train, scans, sentences, stuffing, tagger
 
@@ -159,6 +160,27 @@ def test_scan_tables(spark):
     assert {r.doc_id: r.text for r in scans.repaired(pages, docs).collect()} == {1: "Il giudice ha letto la memoria.", 3: ""}
 
 
+def test_scan_model_holds_all_words(spark):
+    syllables = [c + v for c in "bcdfglmnprst" for v in "aeiou"]
+    many = [a + b + c + "no" for a in syllables for b in syllables for c in syllables] + [a + b + c + "ni" for a in syllables for b in syllables for c in syllables]
+    docs = spark.createDataFrame([(" ".join(many[i : i + 4000] * 2),) for i in range(0, len(many), 4000)] + [("zzuio " * 100,), ("Il zzulo tace.",), ("lo zzabo",)], "text string")
+    pages = spark.createDataFrame([(1, 1, "Il zzulo tace.")], "doc_id long, page int, text string")
+    assert len(set(many)) > 400_000
+    assert scans.lines_found(pages, docs).count() == 0  # a rare word is no misread of a frequent one
+    m = scans.open_model(SparkFiles.get(scans.publish_model(scans.counts(pages, docs))))
+    assert all(w in m.words for w in (*many[::997], "zzulo", "zzabo")) and "zzula" not in m.words
+    assert m.words["zzuio"] == 100 and m.pairs.get(("lo", "zzabo")) == 1 and m.pairs.get(("zzabo", "lo")) == 0
+
+
+def test_running_lines_by_thirds(spark):
+    r = random.Random(3)
+    known = ["".join(r.choice("ab 9A") for _ in range(r.randrange(5, 16))) for _ in range(400)]
+    table = spark.createDataFrame([("edge", k, "", 9) for k in set(known)] + [("word", "a", "", 1)], "kind string, a string, b string, n long")
+    m = scans.open_model(SparkFiles.get(scans.publish_model(table)))
+    lines = known + [k[:3] + "b" + k[4:9] + k[10:] for k in known] + [k[1:] + "z" for k in known] + ["".join(r.choice("ab 9A") for _ in range(12)) for _ in range(200)]
+    assert [scans.running_line(x, m.running) for x in lines] == [scans.running_line(x, set(known)) for x in lines]
+
+
 # --- problem 6
 
 

@@ -2,15 +2,23 @@
 
 Three corpus passes give counts: words and word pairs of all texts, and the shapes of lines at page edges. A file's
 pages are then read in order: running lines are set apart, words that a full line cut are joined, and Viterbi chooses
-for every line the words that most likely stood on the paper.
+for every line the words that most likely stood on the paper. The counts are one memory-mapped sorted table a machine,
+however many words, pairs and shapes there are.
 """
 
 from __future__ import annotations
 
 import math
+import mmap
+import os
 import re
+import shutil
+import struct
+import tempfile
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,10 +27,8 @@ from pyspark.sql import functions as F
 
 from velum.sources.tables import latest, load, publish, spread
 
-#: Sizes of the language model: most frequent words and word pairs that tasks hold (documented bounds of memory).
-WORDS, PAIRS = 400_000, 300_000
 #: A line's shape is a running line's if it stands at page edges so often, and so seldom elsewhere.
-EDGE_COUNT, EDGE_SHARE, SHAPES = 4, 0.95, 20_000
+EDGE_COUNT, EDGE_SHARE = 4, 0.95
 #: Weight of a word's count on scanned pages, which hold misread words too, against its count in digital texts.
 SCAN_WEIGHT = 0.02
 #: Probability of a listed confusion, of any other wrong character, and the weight of word pairs.
@@ -75,11 +81,78 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+SEED = 42  # of Spark's xxhash64
+
+
+def _key(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text, SEED) - (1 << 63)
+
+
+class Table:
+    """Counts in a memory-mapped table sorted by key, read like a dict; keys of one kind share a prefix."""
+
+    def __init__(self, keys: memoryview, values: memoryview, kind: str) -> None:
+        self.keys, self.values, self.kind = keys, values, kind
+
+    def get(self, word: str | tuple[str, str], default: float = 0.0) -> float:
+        k = _key(self.kind + (word if isinstance(word, str) else " ".join(word)))
+        i = bisect_left(self.keys, k)
+        return self.values[i] if i < len(self.keys) and self.keys[i] == k else default
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word, -1.0) >= 0
+
+    def __getitem__(self, word: str) -> float:
+        return self.get(word)
+
+
+def _thirds(n: int) -> tuple[int, int, int, int]:
+    return 0, n // 3, 2 * n // 3, n
+
+
+def segments(known: str) -> list[str]:
+    """Keys of a shape: its thirds, one of which two edits leave whole, with its length."""
+    at = _thirds(len(known))
+    return [f"s{len(known)} {i} {known[at[i] : at[i + 1]]}" for i in range(3)]
+
+
+class Shapes:
+    """Running lines in a memory-mapped table of their thirds."""
+
+    def __init__(self, exact: Table, keys: memoryview, ends: memoryview, texts: memoryview) -> None:
+        self.exact, self.keys, self.ends, self.texts = exact, keys, ends, texts
+
+    def __contains__(self, line: str) -> bool:
+        return line in self.exact
+
+    def like(self, line: str) -> Iterator[str]:
+        """All shapes within two edits of `line`, and some more."""
+        for n in range(max(3, len(line) - 2), len(line) + 3):
+            at = _thirds(n)
+            for i in range(3):
+                size = at[i + 1] - at[i]
+                for part in {line[b : b + size] for b in range(max(0, at[i] - 2), min(at[i] + 2, len(line) - size) + 1)}:
+                    k = _key(f"s{n} {i} {part}")
+                    j = bisect_left(self.keys, k)
+                    while j < len(self.keys) and self.keys[j] == k:
+                        yield bytes(self.texts[self.ends[j - 1] if j else 0 : self.ends[j]]).decode()
+                        j += 1
+
+
 class Model(NamedTuple):
-    words: dict[str, float]
-    pairs: dict[tuple[str, str], float]
-    hyphened: dict[str, float]
-    running: set[str]
+    words: dict[str, float] | Table
+    pairs: dict[tuple[str, str], float] | Table
+    hyphened: dict[str, float] | Table
+    running: set[str] | Shapes
+
+
+def running_line(s: str, running: set[str] | Shapes) -> bool:
+    """Whether a shape is a running line's, or a misread one's."""
+    if s in running:
+        return True
+    return len(s) > 8 and any(distance(s, k, 2) <= 2 for k in (running.like(s) if isinstance(running, Shapes) else running) if abs(len(k) - len(s)) <= 2 and len(k) > 10)
 
 
 def candidates(word: str, words: dict[str, float]) -> dict[str, float]:
@@ -109,15 +182,19 @@ def candidates(word: str, words: dict[str, float]) -> dict[str, float]:
     return out
 
 
+_candidates = lru_cache(50_000)(candidates)  # of a task's table; dicts have no hash
+
+
 def decode(tokens: list[str], m: Model) -> list[str]:
     """The most likely true words of a line, by Viterbi over each token's candidates."""
     best: list[tuple[float, list[str]]] = [(0.0, [])]
     before = [""]
+    near = candidates if isinstance(m.words, dict) else _candidates
     for token in tokens:
         low = token.lower()
         options = {low: math.log(m.words.get(low, 0.0) + SCAN_WEIGHT)}
         if len(low) > 1 and not (sum(c.isdigit() for c in low) > max(1, len(low) // 3)) and any(c.isalpha() for c in low):
-            for w, p in candidates(low, m.words).items():
+            for w, p in near(low, m.words).items():
                 options[w] = p + math.log(m.words[w] + SCAN_WEIGHT)
         nxt: list[tuple[float, list[str]]] = []
         for w, p in options.items():
@@ -157,7 +234,7 @@ def read_file(pages: list[tuple[int, str]], m: Model) -> list[Line]:
         for part in (full[:2], full[::-1][:2]):
             for i in part:
                 s = shape(lines[i])
-                known = s in m.running or page_number(lines[i]) or len(s) > 8 and any(distance(s, k, 2) <= 2 for k in m.running if abs(len(k) - len(s)) <= 2 and len(k) > 10)
+                known = page_number(lines[i]) or running_line(s, m.running)
                 if not known and repeated[s] > 1 and len(s) < 60 and not re.search(r"[.;,]$", s) and len(pages) > 1 and repeated[s] >= 0.6 * len(pages) and len(s) > 3:
                     known = True
                 if not known:
@@ -283,23 +360,87 @@ def counts(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return spread(texts).mapInArrow(_counted, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def model_bytes(table: DataFrame) -> bytes:
-    import pickle
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns of a batch as bytes: keys and counts, or keys, lengths and texts."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+        if pa.types.is_string(batch.column(1).type):
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            values, text = struct.pack(f"<{len(texts)}q", *map(len, texts)), b"".join(texts)
+        else:
+            values, text = batch.column(1).to_numpy(zero_copy_only=False).astype("<f8").tobytes(), b""
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (keys, values, text)], names=["keys", "data", "text"])
+
 
+def _segmented(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(_key(k), shape) for shape in batch.column(0).to_pylist() for k in segments(shape)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["key", "value"])
+
+
+def _write(rows: DataFrame, folder: str, name: str) -> list[str]:
+    """Files of the keys, counts or text ends, and texts of rows(key, value) in the order of keys, a batch at a time."""
+    packed = rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_packed, "keys binary, data binary, text binary")
+    paths = [os.path.join(folder, f"{name}.{part}") for part in ("keys", "data", "text")]
+    end = 0
+    with open(paths[0], "wb") as keys, open(paths[1], "wb") as data, open(paths[2], "wb") as text:
+        for r in packed.toLocalIterator():
+            keys.write(r["keys"])
+            if r.text:
+                ends = []
+                for n in memoryview(bytes(r.data)).cast("q"):
+                    end += n
+                    ends.append(end)
+                data.write(struct.pack(f"<{len(ends)}q", *ends))
+                text.write(r.text)
+            else:
+                data.write(r.data)
+    return paths
+
+
+def publish_model(table: DataFrame) -> str:
+    """Writes the language model of counts into one file and hands it to every executor; nothing is held in memory."""
     from velum.sources.tables import saved
 
     table = saved(table, "p5-counts")
     words = (
         table.filter("kind in ('word', 'scan')").groupBy("a").agg(F.sum(F.when(F.col("kind") == "word", F.col("n")).otherwise(F.col("n") * SCAN_WEIGHT)).alias("w"))
-        .filter(f"w > {SCAN_WEIGHT}").orderBy(F.desc("w"), "a").limit(WORDS).toPandas()
+        .filter(f"w > {SCAN_WEIGHT}").select(F.concat(F.lit("w"), "a").alias("text"), F.col("w").cast("double").alias("value"))
     )
-    pairs = table.filter("kind = 'pair' and n > 2").orderBy(F.desc("n"), "a", "b").limit(PAIRS).select("a", "b", "n").toPandas()
-    hyphened = table.filter("kind = 'hyphened' and n > 1").orderBy(F.desc("n"), "a").limit(SHAPES).select("a", "n").toPandas()
-    shapes = (
+    pairs = table.filter("kind = 'pair'").select(F.concat(F.lit("p"), "a", F.lit(" "), "b").alias("text"), F.col("n").cast("double").alias("value"))
+    hyphened = table.filter("kind = 'hyphened' and n > 1").select(F.concat(F.lit("h"), "a").alias("text"), F.col("n").cast("double").alias("value"))
+    shapes = saved(
         table.filter("kind in ('edge', 'inner')").groupBy("a").agg(F.sum(F.when(F.col("kind") == "edge", F.col("n"))).alias("edge"), F.sum("n").alias("n"))
-        .filter(f"edge >= {EDGE_COUNT} and edge >= {EDGE_SHARE} * n and length(a) > 3 and not a rlike '[.;,!?:»]$'").orderBy(F.desc("edge"), "a").limit(SHAPES).select("a").toPandas()
+        .filter(f"edge >= {EDGE_COUNT} and edge >= {EDGE_SHARE} * n and length(a) > 3 and not a rlike '[.;,!?:»]$'").select("a"), "p5-shapes"
     )
-    return pickle.dumps((dict(zip(words.a, words.w, strict=True)), {(a, b): float(n) for a, b, n in pairs.itertuples(index=False)}, dict(zip(hyphened.a, hyphened.n.astype(float), strict=True)), set(shapes.a)), 5)
+    known = shapes.select(F.concat(F.lit("r"), "a").alias("text"), F.lit(1.0).alias("value"))
+    counted = words.unionByName(pairs).unionByName(hyphened).unionByName(known)
+    # unsigned order of the hash, as _key
+    counted = counted.select(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("key"), "value")
+    folder = tempfile.mkdtemp(prefix="velum-scans-")
+    try:
+        parts = _write(counted, folder, "counts")[:2] + _write(shapes.mapInArrow(_segmented, "key long, value string"), folder, "shapes")
+        path = os.path.join(folder, "model")
+        with open(path, "wb") as out:
+            out.write(struct.pack("<5q", *map(os.path.getsize, parts)))
+            for part in parts:
+                with open(part, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return publish(table.sparkSession, data, ".scans")
+    finally:
+        shutil.rmtree(folder)
+
+
+def open_model(path: str) -> Model:
+    with open(path, "rb") as f:
+        data = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    at, parts = 40, []
+    for size, kind in zip(struct.unpack("<5q", data[:40]), "qdqqB", strict=True):
+        parts.append(data[at : at + size].cast(kind))
+        at += size
+    words, pairs, hyphened, known = (Table(parts[0], parts[1], kind) for kind in "wphr")
+    return Model(words, pairs, hyphened, Shapes(known, *parts[2:]))
 
 
 _models: dict[str, Model] = {}
@@ -307,13 +448,11 @@ _models: dict[str, Model] = {}
 
 def _model(name: str) -> Model:
     if name not in _models:
-        import pickle
-
         from pyspark import SparkFiles
 
         _models.clear()
-        with open(SparkFiles.get(name), "rb") as f:
-            _models[name] = Model(*pickle.load(f))  # noqa: S301 - written by model_bytes of this run
+        _candidates.cache_clear()
+        _models[name] = open_model(SparkFiles.get(name))
     return _models[name]
 
 
@@ -328,8 +467,7 @@ def lines_found(pages: DataFrame, docs: DataFrame) -> DataFrame:
     Null and empty pages have no lines of a kind; pages delivered again must be settled before; ties between readings
     go to the text as it stands.
     """
-    spark = pages.sparkSession
-    name = publish(spark, model_bytes(counts(pages, docs)), ".scans")
+    name = publish_model(counts(pages, docs))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(name)
@@ -349,8 +487,7 @@ def lines_found(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repaired(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, text): every file's pages as continuous paragraphs."""
-    spark = pages.sparkSession
-    name = publish(spark, model_bytes(counts(pages, docs)), ".scans")
+    name = publish_model(counts(pages, docs))
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(name)
