@@ -327,6 +327,20 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed(df.limit(0)).count() == 0
 
 
+def test_stuffed_pages_of_unknown_scripts(spark):
+    r = random.Random(9)
+    function = "il la di che e per non con una del".split()
+    content = ["".join(r.choice("bcdfgl") + r.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    greek = str.maketrans("abcdefgilnoptu", "αβκδεφγιλνοπτυ")
+    prose = lambda n: " ".join(r.choice(function) if r.random() < 0.5 else r.choice(content) for _ in range(n))
+    latin = [(i, prose(r.randrange(60, 160)), "it") for i in range(150)]
+    other = [(500 + i, prose(r.randrange(60, 160)).translate(greek), None if i % 2 else "und") for i in range(40)]
+    other += [(1000, "αγορά φθηνό δάνειο " * 50, None), (1001, "αγορά " * 90, "und"), (1002, "ხელშეკრულება სესხი " * 60, "ka"), (1003, "μικρή σελίδα", None)]
+    schema = "doc_id long, text string, lang string"
+    assert {x.doc_id for x in stuffing.stuffed(spark.createDataFrame(latin + other, schema)).collect()} == {1000, 1001, 1002}
+    assert {x.doc_id for x in stuffing.stuffed(spark.createDataFrame(other, schema)).collect()} == {1000, 1001, 1002}  # no language known
+
+
 # --- all queries
 
 

@@ -113,21 +113,29 @@ def stuffed(docs: DataFrame) -> DataFrame:
         f"percentile_approx({m}, 0.5, 1000) AS {m}_mid, (percentile_approx({m}, 0.75, 1000) - percentile_approx({m}, 0.25, 1000)) / 2 AS {m}_dev"
         for m in ("slope", "residual", "reach", "divergence")
     )
-    # 'none' shares no common word with a language of its script, 'und' has a script of no known language: compared with all pages
-    pick = lambda m, s: f"CASE WHEN p.lang IN ('und', 'none') THEN coalesce(a.{m}_{s}, b.{m}_{s}) WHEN k.pages >= {LEAST_CLASS} THEN k.{m}_{s} ELSE l.{m}_{s} END"
+    # 'none' shares no common word with a language of its script: compared with all pages
+    own = lambda m, s: f"IF(k.pages >= {LEAST_CLASS}, k.{m}_{s}, l.{m}_{s})"
+    pick = lambda m, s: f"IF(p.lang = 'none', coalesce(a.{m}_{s}, b.{m}_{s}), {own(m, s)})"
     chance = f"{LEAST_DIVERGENCE} + {CHANCE} / p.total"
-    beyond = lambda m, sign, least: f"{sign}(p.{m} - {pick(m, 'mid')}) > greatest({FAR} * {pick(m, 'dev')}, {least})"
+    beyond = lambda m, sign, least, of: f"{sign}(p.{m} - {of(m, 'mid')}) > greatest({FAR} * {of(m, 'dev')}, {least})"
+    curve = lambda of: f"({beyond('slope', '-', LEAST_SLOPE, of)} OR {beyond('residual', '', LEAST_RESIDUAL, of)} OR {beyond('reach', '-', LEAST_REACH, of)})"
     return docs.sparkSession.sql(
         f"""
         WITH p AS (SELECT *, CAST(log2(total) AS INT) AS size FROM velum_p10_pages WHERE total >= {LEAST_WORDS}),
         k AS (SELECT lang, size, count(*) AS pages, {stats} FROM p GROUP BY lang, size),
         l AS (SELECT lang, {stats} FROM p GROUP BY lang),
         a AS (SELECT size, {stats} FROM p WHERE lang NOT IN ('und', 'none') GROUP BY size),
-        b AS (SELECT {stats} FROM p WHERE lang NOT IN ('und', 'none'))
+        b AS (SELECT {stats} FROM p WHERE lang NOT IN ('und', 'none')),
+        -- 'und' has a script of no known language, so no prose to diverge from: its curve must be extreme beside every known language's
+        -- (languages differ, above all those written without blanks); beside the other such pages if no language is known
+        u AS (
+          SELECT p.doc_id FROM p JOIN l ON l.lang NOT IN ('und', 'none') OR l.lang = 'und' AND (SELECT count_if(lang NOT IN ('und', 'none')) FROM l) = 0
+          LEFT JOIN k ON k.lang = l.lang AND k.size = p.size WHERE p.lang = 'und' GROUP BY p.doc_id HAVING bool_and({curve(own)})
+        )
         SELECT DISTINCT p.doc_id FROM p JOIN k ON p.lang = k.lang AND p.size = k.size JOIN l ON p.lang = l.lang LEFT JOIN a ON p.size = a.size LEFT JOIN b ON true
-        WHERE p.lang <> 'und' AND {beyond("divergence", "", chance)}
-           OR p.divergence - {pick("divergence", "mid")} > {RISE} AND ({beyond("slope", "-", LEAST_SLOPE)}
-           OR {beyond("residual", "", LEAST_RESIDUAL)} OR {beyond("reach", "-", LEAST_REACH)})
+        WHERE p.lang <> 'und' AND ({beyond("divergence", "", chance, pick)} OR p.divergence - {pick("divergence", "mid")} > {RISE} AND {curve(pick)})
+        UNION
+        SELECT doc_id FROM u
         """
     )
 
