@@ -47,6 +47,12 @@ def test_sentence_table(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+def test_start_words_count_uses_of_all_tasks(spark):
+    texts = ["alfa è qui."] * 6 + ["Qui alfa tace."] * 30 + ["beta è qui."] * 6
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sentences.start_words(df) == sentences.start_words(df.coalesce(1)) == {"beta"}
+
+
 # --- problem 2
 
 

@@ -24,8 +24,6 @@ from velum.sources.tables import latest, load, spread
 THRESHOLD = 0.5
 #: Word of lower case that begins at least so many blocks, and so large a share of its uses, begins sentences too.
 LEAST_STARTS, START_SHARE = 5, 0.2
-#: Most of such words that are kept (the most frequent first).
-START_WORDS = 5000
 
 _BREAK = regex.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _NO_STOP = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
@@ -280,17 +278,17 @@ def _starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, e in blocks(text):
                 if m := word.match(text[s:e].lstrip()[:60]):
                     first[m.group()] += 1
-    rows = [(w, n, uses[w]) for w, n in first.items()]
+    rows = [(w, first[w], uses[w]) for w in uses.keys() | first.keys()]  # all words: another task may hold their starts
     cols = list(zip(*rows, strict=True)) or [(), (), ()]
     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["word", "first", "uses"])
 
 
 def start_words(docs: DataFrame) -> frozenset[str]:
-    """Words of lower case that often begin blocks of the corpus; at most START_WORDS."""
+    """Words of lower case that often begin blocks of the corpus, by the counts of all texts."""
     rows = (
         spread(docs.select("text").filter("text is not null")).mapInArrow(_starts, "word string, first long, uses long").groupBy("word")
         .agg(F.sum("first").alias("first"), F.sum("uses").alias("uses")).filter(f"first >= {LEAST_STARTS} and first >= {START_SHARE} * uses")
-        .orderBy(F.desc("first"), "word").limit(START_WORDS).collect()
+        .select("word").collect()
     )
     return frozenset(r.word for r in rows)
 
