@@ -159,6 +159,21 @@ def test_scans():
     assert scans.read_file([], m) == []
 
 
+def test_scans_keep_every_candidate():
+    token = "casaluce"
+    ways = [token[:i] + t + token[i + 1 :] for i, c in enumerate(token) for t in scans._BY_READ.get(c, ()) if len(t) == 1]
+    words = {w: 900.0 - 10 * i for i, w in enumerate(ways)} | {"giusta": 500.0}
+    options = [w for w, _ in sorted(scans.candidates(token, words).items(), key=lambda x: -(x[1] + scans.math.log(words[x[0]])))]
+    assert len(options) > 6
+    last = options[-1]
+    m = scans.Model(words, {(last, "giusta"): 1e12}, {}, set())
+    assert scans.decode([token, "giusta"], m) == [last, "giusta"]
+    assert scans.decode([], m) == []
+    long = "illuminiferiillerinniilliilliiuniilli"
+    true = long.replace("feri", "teri").replace("uni", "vni")
+    assert true in scans.candidates(long, {true: 9.0})
+
+
 def test_scan_tables(spark):
     docs = spark.createDataFrame([("Il giudice ha letto la memoria. " * 40,), (None,)], "text string")
     pages = spark.createDataFrame([(1, 1, "Il giudice ha lctto la\nmemoria."), (2, 1, None), (3, 1, "")], "doc_id long, page int, text string")

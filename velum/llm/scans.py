@@ -164,7 +164,7 @@ def candidates(word: str, words: dict[str, float]) -> dict[str, float]:
         w = word[:i] + t + word[i + len(r) :]
         if w in words:
             out[w] = max(out.get(w, -99), one)
-        elif len(word) > 4 and len(steps) < 60:
+        elif len(word) > 4:
             at = i + len(t)
             for j in range(at, len(w)):
                 for r2 in (w[j], w[j : j + 2]):
@@ -187,8 +187,8 @@ _candidates = lru_cache(50_000)(candidates)  # of a task's table; dicts have no
 
 def decode(tokens: list[str], m: Model) -> list[str]:
     """The most likely true words of a line, by Viterbi over each token's candidates."""
-    best: list[tuple[float, list[str]]] = [(0.0, [])]
-    before = [""]
+    scores: dict[str, float] = {"": 0.0}  # of every candidate of the token before
+    back: list[dict[str, str]] = []
     near = candidates if isinstance(m.words, dict) else _candidates
     for token in tokens:
         low = token.lower()
@@ -196,14 +196,19 @@ def decode(tokens: list[str], m: Model) -> list[str]:
         if len(low) > 1 and not (sum(c.isdigit() for c in low) > max(1, len(low) // 3)) and any(c.isalpha() for c in low):
             for w, p in near(low, m.words).items():
                 options[w] = p + math.log(m.words[w] + SCAN_WEIGHT)
-        nxt: list[tuple[float, list[str]]] = []
+        nxt: dict[str, float] = {}
+        came: dict[str, str] = {}
         for w, p in options.items():
-            score, path = max(((s + PAIR_WEIGHT * math.log(1 + m.pairs.get((b, w), 0.0)), q) for (s, q), b in zip(best, before, strict=True)), key=lambda x: x[0])
-            nxt.append((score + p, [*path, w]))
-        nxt.sort(key=lambda x: -x[0])
-        best = nxt[:6]
-        before = [q[-1] for _, q in best]
-    return best[0][1]
+            score, came[w] = max(((s + PAIR_WEIGHT * math.log(1 + m.pairs.get((b, w), 0.0)), b) for b, s in scores.items()), key=lambda x: x[0])
+            nxt[w] = score + p
+        scores = nxt
+        back.append(came)
+    word = max(scores, key=lambda w: scores[w])
+    out: list[str] = []
+    for came in reversed(back):
+        out.append(word)
+        word = came[word]
+    return out[::-1]
 
 
 class Line(NamedTuple):
