@@ -362,6 +362,13 @@ def test_stuffed_pages_of_unknown_scripts(spark):
     assert {x.doc_id for x in stuffing.stuffed(spark.createDataFrame(other, schema)).collect()} == {1000, 1001, 1002}  # no language known
 
 
+def test_short_pages_of_links(spark):
+    rows = [(i, "Il giudice ha letto la memoria della parte e decide per la banca con la somma di venti euro oggi.", "it") for i in range(12)]
+    rows += [(100, "\n".join(f"https://a{i}.test/mutuo/sconto" for i in range(9)), "it"), (101, "#mutuo #avvocato #sconto", None), (102, "<a href='http://a.test/x'>mutuo</a> <a href='http://b.test/x'></a>", "it")]
+    rows += [(200, "Vedi qui: https://a.test/x", "it"), (201, "<p>Titolo</p>", "it"), (202, "Due parole", "it"), (203, "", "it"), (204, None, "it")]
+    assert {r.doc_id for r in stuffing.stuffed(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {100, 101, 102}
+
+
 # --- all queries
 
 

@@ -26,6 +26,8 @@ LEAST_PAGES = 8
 NO_LANGUAGE = ("und", "mul", "mis", "zxx", "")
 #: Pages of a language and length class needed to compare with the class rather than with the language.
 LEAST_CLASS = 30
+#: A link, a link's tag or a hash tag.
+LINK = r"(?i)<a\s[^<>]{1,1000}>|(?:https?://|www\.)\S+|[\p{L}\p{N}-]++\.[a-z]{2,}+/\S+|#[\p{L}\p{N}_]+"
 #: Shorter pages show no curve.
 LEAST_WORDS = 20
 #: How many deviations (of half the distance between the quartiles) make divergence or curve extreme.
@@ -102,11 +104,19 @@ def page_measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def short_links(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the pages of fewer than LEAST_WORDS words that hold more links and tags than other words."""
+    count = lambda text, pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    rest = F.regexp_replace("text", LINK + "|<[^<>]{1,1000}>", " ")
+    short = docs.filter(F.col("text").rlike(LINK)).filter(count(F.lower("text"), WORD) < LEAST_WORDS)
+    return short.filter(count(F.col("text"), LINK) > count(F.lower(rest), WORD)).select("doc_id")
+
+
 def stuffed(docs: DataFrame) -> DataFrame:
     """(doc_id) of the pages whose curve or divergence is extreme for their language and length.
 
-    Null, empty and blank texts and pages of fewer than LEAST_WORDS words, which show no curve, are
-    never flagged; repeated rows count once; an empty table gives an empty one.
+    Pages of fewer than LEAST_WORDS words, which show no curve, are flagged if they hold more links and tags than
+    other words. Null, empty and blank texts are never flagged; repeated rows count once; an empty table gives an empty one.
     """
     saved(page_measures(docs), "p10-pages").createOrReplaceTempView("velum_p10_pages")
     stats = ", ".join(
@@ -119,7 +129,7 @@ def stuffed(docs: DataFrame) -> DataFrame:
     chance = f"{LEAST_DIVERGENCE} + {CHANCE} / p.total"
     beyond = lambda m, sign, least, of: f"{sign}(p.{m} - {of(m, 'mid')}) > greatest({FAR} * {of(m, 'dev')}, {least})"
     curve = lambda of: f"({beyond('slope', '-', LEAST_SLOPE, of)} OR {beyond('residual', '', LEAST_RESIDUAL, of)} OR {beyond('reach', '-', LEAST_REACH, of)})"
-    return docs.sparkSession.sql(
+    curved = docs.sparkSession.sql(
         f"""
         WITH p AS (SELECT *, CAST(log2(total) AS INT) AS size FROM velum_p10_pages WHERE total >= {LEAST_WORDS}),
         k AS (SELECT lang, size, count(*) AS pages, {stats} FROM p GROUP BY lang, size),
@@ -138,6 +148,7 @@ def stuffed(docs: DataFrame) -> DataFrame:
         SELECT doc_id FROM u
         """
     )
+    return curved.union(short_links(docs)).distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
