@@ -1,33 +1,41 @@
 """Keyword-stuffed and link-list pages (problem 10): rank-frequency curves and divergence from prose, in SQL windows.
 
 Per page: the counts of its words, ranked; a straight line through log count over log rank (slope and residual);
-how far the curve reaches (log of different words over log of words). Per language: the words that most of its
-pages share. A page's language is the one whose prose it diverges from least, so a wrong or missing `lang` does
-no harm. Pages are compared with pages of their language and of comparable length.
+how far the curve reaches (log of different words over log of words). A page's windows need no other page, so DuckDB
+runs them inside Arrow partitions and no text is shuffled. Per language: the words that most of its pages share. A
+page's language is the one whose prose it diverges from least, so a wrong or missing `lang` does no harm. Pages are
+compared with pages of their language and of comparable length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.sources.tables import load, saved
+from velum.llm.lexicon import parts
+from velum.sources.tables import load, publish, saved
 
-#: A word: a run of letters; single characters in scripts that write no blanks; a link or tag counts as a link.
-WORD = r"<[^<>]{1,1000}>|(?:https?://|www\.)\S+|[\p{L}\p{N}-]++\.[a-z]{2,}+/\S+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}\p{M}]++"
+#: A word: a link or tag counts as a link; single characters in scripts that write no blanks; a run of letters.
+WORD = r"<[^<>]{1,1000}>|(?:https?://|www\.)[^\s\v]+|[\p{L}\p{N}-]+\.[a-z]{2,}/[^\s\v]+|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+"
 #: Last code points of the blocks that tell scripts; fixed values.
 _BLOCKS = ((0x36F, "Latin"), (0x3FF, "Greek"), (0x52F, "Cyrillic"), (0x58F, "other"), (0x5FF, "Hebrew"), (0x77F, "Arabic"), (0x8FF, "other"), (0x97F, "Devanagari"), (0xDFF, "other"), (0xE7F, "Thai"), (0x1DFF, "other"), (0x1EFF, "Latin"), (0x1FFF, "Greek"), (0x303F, "other"), (0x30FF, "Kana"), (0x4DFF, "other"), (0x9FFF, "Han"), (0xABFF, "other"), (0xD7AF, "Hangul"))
-#: The script of a word, by its first character; links have none.
-SCRIPT = "CASE WHEN word = '<link>' THEN '' " + " ".join(f"WHEN ascii(word) <= {last} THEN '{name}'" for last, name in _BLOCKS) + " ELSE 'other' END"
+#: The script of a word that is no link, by its first character.
+SCRIPT = "CASE " + " ".join(f"WHEN {{0}}(word) <= {last} THEN '{name}'" for last, name in _BLOCKS) + " ELSE 'other' END"
 #: Share of a language's pages that hold a word for it to count as common, and pages needed for a language.
 COMMON_SHARE = 0.3
 LEAST_PAGES = 8
 #: Codes by which a label says that it names no one language.
-NO_LANGUAGE = ("und", "mul", "mis", "zxx", "")
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
+#: A label that names a language: two or three letters, by themselves or before a subtag.
+LANGUAGE = r"^([a-z]{2,3})(?:[-_]|$)"
 #: Pages of a language and length class needed to compare with the class rather than with the language.
 LEAST_CLASS = 30
 #: A link, a link's tag or a hash tag.
-LINK = r"(?i)<a\s[^<>]{1,1000}>|(?:https?://|www\.)\S+|[\p{L}\p{N}-]++\.[a-z]{2,}+/\S+|#[\p{L}\p{N}_]+"
+LINK = r"(?i)<a\s[^<>]{1,1000}>|(?:https?://|www\.)[^\s\v]+|[\p{L}\p{N}-]+\.[a-z]{2,}/[^\s\v]+|#[\p{L}\p{N}_]+"
 #: Shorter pages show no curve.
 LEAST_WORDS = 20
 #: How many deviations (of half the distance between the quartiles) make divergence or curve extreme.
@@ -40,102 +48,118 @@ CHANCE = 2.0
 RISE = 0.01
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, word, n, total, script, rank) of every page, with one shuffle of the texts by doc_id."""
-    docs.select(F.col("doc_id"), F.when(~F.lower("lang").isin(*NO_LANGUAGE), F.lower("lang")).alias("lang"), "text").filter("text is not null").repartition("doc_id").createOrReplaceTempView("velum_p10_docs")
-    return docs.sparkSession.sql(
-        f"""
-        WITH words AS (
-          SELECT doc_id, lang, explode(regexp_extract_all(lower(text), '{WORD.replace(chr(92), chr(92) * 2)}', 0)) AS raw FROM velum_p10_docs
-        ), counts AS (
-          SELECT doc_id, lang, IF(raw RLIKE '[/.<]', '<link>', raw) AS word, count(*) AS n FROM words GROUP BY doc_id, lang, IF(raw RLIKE '[/.<]', '<link>', raw)
-        )
-        SELECT doc_id, lang, word, n, sum(n) OVER (PARTITION BY doc_id) AS total,
-               {SCRIPT} AS script, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank
-        FROM counts
-        """
-    )
+#: Per page of `part`(page, doc_id, lang, text): its words and their counts, links as one word.
+_COUNTS = f"""
+WITH raws AS (SELECT page, unnest(regexp_extract_all(lower(text), '{WORD}')) AS raw FROM part),
+counts AS (SELECT page, CASE WHEN contains(raw, '/') OR contains(raw, '.') OR contains(raw, '<') THEN '<link>' ELSE raw END AS word, count(*) AS n FROM raws GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY page) AS total, row_number() OVER (PARTITION BY page ORDER BY n DESC, word) AS rank FROM counts)
+"""
+#: Pages of each language that hold a word, and the sum of its shares in them; pages of the language without a word.
+_SHARES = f"""{_COUNTS}
+SELECT lang, word, count(*) AS df, sum(n / total) AS mass FROM ranked JOIN part USING (page) WHERE lang IS NOT NULL AND word <> '<link>' GROUP BY ALL
+UNION ALL SELECT lang, NULL, count(DISTINCT page), 0 FROM ranked JOIN part USING (page) WHERE lang IS NOT NULL GROUP BY lang
+"""
+#: One row per page: its curve, the divergence from the nearest language's `prose`(lang, word, mass, script), and whether a
+#: page too short for a curve holds more links than other words.
+_PAGES = f"""{_COUNTS}, lines AS (
+  SELECT page, max(total) AS total, count(*) AS types, regr_slope(ln(n), ln(rank)) AS a, regr_syy(ln(n), ln(rank)) AS yy, regr_sxy(ln(n), ln(rank)) AS xy FROM ranked GROUP BY page
+), scripts AS (
+  SELECT page, arg_max(script, (held, script)) AS script FROM
+    (SELECT page, {SCRIPT.format("unicode")} AS script, sum(n) AS held FROM counts WHERE word <> '<link>' GROUP BY ALL) GROUP BY page
+), hits AS (
+  SELECT page, p.lang, least(max(p.mass), 0.999) AS q, least(sum(n / total), max(p.mass), 0.999) AS m FROM ranked JOIN prose p USING (word) GROUP BY page, p.lang
+), langs AS (SELECT page, lang, q * ln(q / m) + (1 - q) * ln((1 - q) / (1 - m)) AS divergence FROM hits),
+best AS (SELECT page, arg_min(lang, (divergence, lang)) AS lang, min(divergence) AS divergence FROM langs GROUP BY page),
+known AS (SELECT script, least(max(mass), 0.999) AS q FROM prose GROUP BY script),
+listed AS (
+  SELECT page, len(regexp_extract_all(text, '{LINK}')) > len(regexp_extract_all(lower(regexp_replace(text, '{LINK}|<[^<>]{{1,1000}}>', ' ', 'g')), '{WORD}')) AS listed
+  FROM part LEFT JOIN lines USING (page) WHERE coalesce(total, 0) < {LEAST_WORDS} AND regexp_matches(text, '{LINK}')
+)
+SELECT doc_id, coalesce(b.lang, CASE WHEN k.q IS NULL THEN 'und' ELSE 'none' END) AS lang, CAST(total AS BIGINT) AS total,
+       CASE WHEN types > 1 THEN a WHEN types = 1 THEN 0.0 END AS slope, CASE WHEN types > 1 THEN sqrt(greatest(yy - a * xy, 0) / types) WHEN types = 1 THEN 0.0 END AS residual,
+       ln(types) / ln(greatest(total, 2)) AS reach,
+       CASE WHEN total > 0 THEN coalesce(b.divergence, k.q * ln(k.q * 2 * total) + (1 - k.q) * ln(1 - k.q), 0.0) END AS divergence, coalesce(listed, false) AS listed
+FROM part LEFT JOIN lines USING (page) LEFT JOIN scripts s USING (page) LEFT JOIN best b USING (page) LEFT JOIN listed USING (page) LEFT JOIN known k ON k.script = coalesce(s.script, 'Latin')
+"""
 
 
-def page_measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, total, slope, residual, reach, divergence) of every page with words; lang is the one found."""
-    spark = docs.sparkSession
-    saved(word_counts(docs), "p10-words").createOrReplaceTempView("velum_p10_words")
-    # every page counts once, whatever its length; bounded: a language has at most (mean words a page) / COMMON_SHARE
-    prose = spark.sql(
+def _run(query: str, name: str | None = None):
+    """The query over each part of a task's pages, each row a page of its own, with the published table `prose`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1})
+        if name is not None:
+            with pa.ipc.open_file(SparkFiles.get(name)) as f:
+                con.register("shared", f.read_all())
+            con.execute("CREATE TABLE prose AS SELECT * FROM shared")
+        for rows, _ in parts(batches, 2):
+            con.register("part", pa.Table.from_batches([rows]).append_column("page", pa.array(range(rows.num_rows), pa.int64())))
+            yield from con.sql(query).to_arrow_table().to_batches()
+            con.unregister("part")
+
+    return run
+
+
+def _prose(pages: DataFrame) -> pa.Table:
+    """(lang, word, mass, script): the words that COMMON_SHARE of a language's pages share, with the mean share of all of them.
+
+    Every page counts once, whatever its length. Bounded: a language has at most (mean words a page) / COMMON_SHARE such
+    words, and LANGUAGE admits fewer than 20,000 languages.
+    """
+    saved(pages.mapInArrow(_run(_SHARES), "lang string, word string, df long, mass double"), "p10-shares").createOrReplaceTempView("velum_p10_shares")
+    return pages.sparkSession.sql(
         f"""
-        WITH pages AS (SELECT lang, count(*) AS pages FROM velum_p10_words WHERE rank = 1 AND lang IS NOT NULL GROUP BY lang),
-        shares AS (
-          SELECT lang, word, count(*) AS df, sum(n / total) AS mass FROM velum_p10_words
-          WHERE lang IS NOT NULL AND word <> '<link>' GROUP BY lang, word
-        ), common AS (
-          SELECT s.lang, s.word, s.mass / p.pages AS q FROM shares s JOIN pages p ON s.lang = p.lang
-          WHERE p.pages >= {LEAST_PAGES} AND s.df >= {COMMON_SHARE} * p.pages
+        WITH shares AS (SELECT lang, word, sum(df) AS df, sum(mass) AS mass FROM velum_p10_shares GROUP BY lang, word),
+        common AS (
+          SELECT s.lang, s.word, s.mass / p.df AS q FROM shares s JOIN shares p ON s.lang = p.lang
+          WHERE p.word IS NULL AND s.word IS NOT NULL AND p.df >= {LEAST_PAGES} AND s.df >= {COMMON_SHARE} * p.df
         )
-        SELECT lang, word, sum(q) OVER (PARTITION BY lang) AS mass, max({SCRIPT}) OVER (PARTITION BY lang) AS script FROM common
+        SELECT lang, word, sum(q) OVER (PARTITION BY lang) AS mass, max({SCRIPT.format("ascii")}) OVER (PARTITION BY lang) AS script FROM common
         """
-    )
-    saved(prose, "p10-prose").createOrReplaceTempView("velum_p10_prose")
-    return spark.sql(
-        """
-        WITH scripts AS (
-          SELECT doc_id, max_by(script, struct(n, script)) AS script FROM
-            (SELECT doc_id, script, sum(n) AS n FROM velum_p10_words WHERE script <> '' GROUP BY doc_id, script) GROUP BY doc_id
-        ), curves AS (
-          SELECT doc_id, max(total) AS total, count(*) AS types,
-                 coalesce(regr_slope(ln(n), ln(rank)), 0.0D) AS slope,
-                 sqrt(greatest(coalesce(regr_syy(ln(n), ln(rank)) - regr_slope(ln(n), ln(rank)) * regr_sxy(ln(n), ln(rank)), 0.0D), 0.0D) / count(*)) AS residual
-          FROM velum_p10_words GROUP BY doc_id
-        ), hits AS (
-          SELECT w.doc_id, p.lang, max(w.total) AS total, sum(w.n / w.total) AS mass, max(p.mass) AS q
-          FROM velum_p10_words w JOIN velum_p10_prose p ON w.word = p.word GROUP BY w.doc_id, p.lang
-        ), langs AS (
-          SELECT doc_id, lang, q * ln(q / m) + (1 - q) * ln((1 - q) / (1 - m)) AS divergence FROM
-            (SELECT doc_id, lang, least(q, 0.999D) AS q, least(mass, q, 0.999D) AS m FROM hits)
-        ), best AS (
-          SELECT doc_id, min_by(lang, struct(divergence, lang)) AS lang, min(divergence) AS divergence FROM langs GROUP BY doc_id
-        ), known AS (SELECT script, least(max(mass), 0.999D) AS q FROM velum_p10_prose GROUP BY script)
-        SELECT c.doc_id, coalesce(b.lang, IF(k.q IS NULL, 'und', 'none')) AS lang, c.total, c.slope, c.residual,
-               ln(c.types) / ln(greatest(c.total, 2)) AS reach,
-               coalesce(b.divergence, k.q * ln(k.q * 2 * c.total) + (1 - k.q) * ln(1 - k.q), 0.0D) AS divergence
-        FROM curves c LEFT JOIN scripts s ON c.doc_id = s.doc_id LEFT JOIN best b ON c.doc_id = b.doc_id
-        LEFT JOIN known k ON coalesce(s.script, 'Latin') = k.script
-        """
-    )
+    ).toArrow()
 
 
-def short_links(docs: DataFrame) -> DataFrame:
-    """(doc_id) of the pages of fewer than LEAST_WORDS words that hold more links and tags than other words."""
-    count = lambda text, pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    rest = F.regexp_replace("text", LINK + "|<[^<>]{1,1000}>", " ")
-    short = docs.filter(F.col("text").rlike(LINK)).filter(count(F.lower("text"), WORD) < LEAST_WORDS)
-    return short.filter(count(F.col("text"), LINK) > count(F.lower(rest), WORD)).select("doc_id")
+def page_measures(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, total, slope, residual, reach, divergence, listed) of every page; lang is the one found.
+
+    A page without words has null measures. Every row of `docs` with a text is a page of its own.
+    """
+    label = F.nullif(F.regexp_extract(F.lower("lang"), LANGUAGE, 1), F.lit(""))
+    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(~label.isin(*NO_LANGUAGE), label).alias("lang"), "text").filter("text is not null")
+    prose, out = _prose(pages), pa.BufferOutputStream()
+    with pa.ipc.new_file(out, prose.schema) as f:
+        f.write_table(prose)
+    name = publish(docs.sparkSession, out.getvalue().to_pybytes(), ".arrow")
+    schema = "doc_id long, lang string, total long, slope double, residual double, reach double, divergence double, listed boolean"
+    return pages.mapInArrow(_run(_PAGES, name), schema)
 
 
 def stuffed(docs: DataFrame) -> DataFrame:
     """(doc_id) of the pages whose curve or divergence is extreme for their language and length.
 
     Pages of fewer than LEAST_WORDS words, which show no curve, are flagged if they hold more links and tags than
-    other words. Null, empty and blank texts are never flagged; repeated rows count once; an empty table gives an empty one.
+    other words. Null, empty and blank texts are never flagged; repeated rows are pages of their own and give one
+    row; an empty table gives an empty one.
     """
     saved(page_measures(docs), "p10-pages").createOrReplaceTempView("velum_p10_pages")
-    stats = ", ".join(
-        f"percentile_approx({m}, 0.5, 1000) AS {m}_mid, (percentile_approx({m}, 0.75, 1000) - percentile_approx({m}, 0.25, 1000)) / 2 AS {m}_dev"
-        for m in ("slope", "residual", "reach", "divergence")
-    )
+    quarters = ", ".join(f"percentile_approx({m}, array(0.25, 0.5, 0.75), 1000) AS {m}" for m in ("slope", "residual", "reach", "divergence"))
     # 'none' shares no common word with a language of its script: compared with all pages
-    own = lambda m, s: f"IF(k.pages >= {LEAST_CLASS}, k.{m}_{s}, l.{m}_{s})"
-    pick = lambda m, s: f"IF(p.lang = 'none', coalesce(a.{m}_{s}, b.{m}_{s}), {own(m, s)})"
+    value = {"mid": "{0}[1]", "dev": "({0}[2] - {0}[0]) / 2"}
+    quarter = lambda t, m, s: value[s].format(f"{t}.{m}")
+    own = lambda m, s: f"IF(k.pages >= {LEAST_CLASS}, {quarter('k', m, s)}, {quarter('l', m, s)})"
+    pick = lambda m, s: f"IF(p.lang = 'none', coalesce({quarter('a', m, s)}, {quarter('b', m, s)}), {own(m, s)})"
     chance = f"{LEAST_DIVERGENCE} + {CHANCE} / p.total"
     beyond = lambda m, sign, least, of: f"{sign}(p.{m} - {of(m, 'mid')}) > greatest({FAR} * {of(m, 'dev')}, {least})"
     curve = lambda of: f"({beyond('slope', '-', LEAST_SLOPE, of)} OR {beyond('residual', '', LEAST_RESIDUAL, of)} OR {beyond('reach', '-', LEAST_REACH, of)})"
-    curved = docs.sparkSession.sql(
+    return docs.sparkSession.sql(
         f"""
         WITH p AS (SELECT *, CAST(log2(total) AS INT) AS size FROM velum_p10_pages WHERE total >= {LEAST_WORDS}),
-        k AS (SELECT lang, size, count(*) AS pages, {stats} FROM p GROUP BY lang, size),
-        l AS (SELECT lang, {stats} FROM p GROUP BY lang),
-        a AS (SELECT size, {stats} FROM p WHERE lang NOT IN ('und', 'none') GROUP BY size),
-        b AS (SELECT {stats} FROM p WHERE lang NOT IN ('und', 'none')),
+        k AS (SELECT lang, size, count(*) AS pages, {quarters} FROM p GROUP BY lang, size),
+        l AS (SELECT lang, {quarters} FROM p GROUP BY lang),
+        a AS (SELECT size, {quarters} FROM p WHERE lang NOT IN ('und', 'none') GROUP BY size),
+        b AS (SELECT {quarters} FROM p WHERE lang NOT IN ('und', 'none')),
         -- 'und' has a script of no known language, so no prose to diverge from: its curve must be extreme beside every known language's
         -- (languages differ, above all those written without blanks); beside the other such pages if no language is known
         u AS (
@@ -146,9 +170,10 @@ def stuffed(docs: DataFrame) -> DataFrame:
         WHERE p.lang <> 'und' AND ({beyond("divergence", "", chance, pick)} OR p.divergence - {pick("divergence", "mid")} > {RISE} AND {curve(pick)})
         UNION
         SELECT doc_id FROM u
+        UNION
+        SELECT doc_id FROM velum_p10_pages WHERE listed
         """
     )
-    return curved.union(short_links(docs)).distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
