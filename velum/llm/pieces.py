@@ -19,7 +19,8 @@ from velum.sources.tables import latest, load
 LIMIT = 3000
 OVERLAP = 200
 
-_EOL = r"(?:\r\n|\r|\n)"
+#: A line end, taken whole: the two characters of one are never read as two.
+_EOL = r"(?>\r\n|\r|\n)"
 #: A paragraph break: a line end, then lines of nothing but blanks.
 _PARAGRAPH = re.compile(rf"{_EOL}(?:[^\S\r\n]*{_EOL})+|\A(?:[^\S\r\n]*{_EOL})+|{_EOL}[^\S\r\n]*\Z")
 #: A section starts after a paragraph break with a heading: markup, a number with a title, or a line in capitals.

@@ -31,15 +31,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Blocks between blank lines that exceed the limit, found by text alone.
+#: Blocks between blank lines that exceed the limit, read line by line: runs of lines that are not blank.
 _BLOCKS = r"""
 WITH docs AS (SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC NULLS LAST, text DESC) AS rn FROM documents_in) WHERE rn = 1 AND length(text) > 3000),
-parts AS (SELECT doc_id, text, unnest(regexp_extract_all(text || chr(10) || chr(10), '(?s)(.*?)((?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+)', 0)) AS part,
-                 generate_subscripts(regexp_extract_all(text || chr(10) || chr(10), '(?s)(.*?)((?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+)', 0), 1) AS k FROM docs),
-placed AS (SELECT doc_id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM parts),
-trimmed AS (SELECT doc_id, pos, regexp_replace(part, '(?s)(?:\r\n|\r|\n)(?:[ \t\f\v]*(?:\r\n|\r|\n))+$', '') AS body FROM placed),
-cut AS (SELECT doc_id, pos + length(body) - length(ltrim(body, chr(10) || chr(13))) AS start_pos, trim(body, chr(10) || chr(13)) AS body FROM trimmed)
-SELECT DISTINCT doc_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(start_pos + length(body) AS INTEGER) AS end_pos FROM cut WHERE length(body) > 3000
+split AS (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(1) || chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM docs),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM split),
+placed AS (SELECT doc_id, k, line, regexp_full_match(line, '[\s\x01\x0B\x1C-\x1F\x{85}\p{Z}]*') AS blank, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS pos FROM lines),
+runs AS (SELECT *, count(*) FILTER (WHERE blank) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM placed),
+blocks AS (SELECT doc_id, run, min(pos) AS start_pos, max(pos + length(rtrim(line, chr(1)))) AS end_pos FROM runs WHERE NOT blank GROUP BY doc_id, run)
+SELECT doc_id, CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos FROM blocks WHERE end_pos - start_pos > 3000
 """
 
 

@@ -25,7 +25,8 @@ THRESHOLD = 0.5
 #: Word of lower case that begins at least so many blocks, and so large a share of its uses, begins sentences too.
 LEAST_STARTS, START_SHARE = 5, 0.2
 
-_BREAK = regex.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
+_EOL = r"(?>\r\n|\r|\n)"  # taken whole: the two characters of one line end are never read as two
+_BREAK = regex.compile(rf"{_EOL}(?:[^\S\r\n]*{_EOL})+")
 _NO_STOP = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _TOKEN = regex.compile(
@@ -276,7 +277,7 @@ def _starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             uses.update(word.findall(text))
             for s, e in blocks(text):
-                if m := word.match(text[s:e].lstrip()[:60]):
+                if m := word.match(text, e - len(text[s:e].lstrip()), e):
                     first[m.group()] += 1
     rows = [(w, first[w], uses[w]) for w in uses.keys() | first.keys()]  # all words: another task may hold their starts
     cols = list(zip(*rows, strict=True)) or [(), (), ()]
