@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,17 +77,30 @@ def canonical_sql(column: str) -> str:
     return f"nfc_normalize(translate({out}, '{_FROM}', '{plain}'))"
 
 
+#: Forms of strings that a worker has met; forgotten when they grow too many.
+_met: dict[str, str] = {}
+MET = 500_000
+
+
 def _canonicalise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the form of the last column: each different string of a batch that is not ASCII is mapped once."""
     import duckdb
 
     con = duckdb.connect(config={"threads": 1})
-    query = f"SELECT CASE WHEN regexp_full_match(original, '[\\x00-\\x7F]*') THEN original ELSE {canonical_sql('original')} END AS canonical FROM part ORDER BY n"  # noqa: S608
+    query = f"SELECT original, {canonical_sql('original')} AS canonical FROM part"  # noqa: S608
     for batch in batches:
-        part = pa.table({"original": batch.column(batch.num_columns - 1), "n": pa.array(range(batch.num_rows), pa.int32())})
-        con.register("part", part)
-        canonical = con.sql(query).to_arrow_table().column(0).combine_chunks().cast(pa.string())
-        con.unregister("part")
-        yield pa.RecordBatch.from_arrays([*batch.columns, canonical], names=[*batch.schema.names, "canonical"])
+        column = batch.column(batch.num_columns - 1).cast(pa.string()).dictionary_encode()
+        strings = column.dictionary
+        mapped = pc.invert(pc.string_is_ascii(strings))
+        different = strings.filter(mapped).to_pylist()
+        if len(_met) > MET:
+            _met.clear()
+        if new := [s for s in different if s not in _met]:
+            con.register("part", pa.table({"original": pa.array(new, pa.string())}))
+            _met.update(con.sql(query).fetchall())
+            con.unregister("part")
+        forms = pc.replace_with_mask(strings, mapped, pa.array([_met[s] for s in different], pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, forms.take(column.indices)], names=[*batch.schema.names, "canonical"])
 
 
 def canonical(strings: DataFrame, column: str) -> DataFrame:
