@@ -93,8 +93,6 @@ def _name(text: str, s: int, e: int) -> tuple[int, int] | None:
         tail = regex.search(r"[\p{L}]+\.$", text[s:e])
         if not tail or len(tail.group()) > 2:
             e -= 1
-        elif len(words) > 1 or True:
-            pass
     elif e < len(text) and text[e] == "." and words and len(words[-1]) == 1 and len(words) > 1:
         e += 1
     name = text[s:e]
@@ -104,12 +102,12 @@ def _name(text: str, s: int, e: int) -> tuple[int, int] | None:
 
 
 def _joined(view: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans with those of one name joined that only a blank parts, or in a string that is a name, a comma."""
+    """Spans with those of one name joined that only a blank parts, or in a string that is nothing but a name and titles, a comma."""
     out: list[tuple[int, int, int]] = []
     for s, e, k in found:
         if out and k == 0 and out[-1][2] == 0:
             gap = view[out[-1][1] : s]
-            if gap.strip() == "" and len(gap) <= 1 or gap in (", ", ",") and len(view) < 60:
+            if gap.strip() == "" and len(gap) <= 1 or gap in (", ", ",") and "\n" not in view and not _TITLE.sub("", view[: out[-1][0]]).strip() and not view[e:].strip():
                 out[-1] = (out[-1][0], e, 0)
                 continue
         out.append((s, e, k))
@@ -160,13 +158,6 @@ def check(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return kept
 
 
-def tag_texts(texts: list[str], pseudonyms: bool = False) -> list[list[tuple[int, int, str]]]:
-    found = []
-    for text, raw in zip(texts, tagger.tag(_weights(), texts), strict=True):
-        found.append([] if pseudonyms and _PSEUDONYM.fullmatch(text.strip()) else check(text, raw))
-    return found
-
-
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     for batch in batches:
         fields, ids, texts = (batch.column(c).to_pylist() for c in range(3))
@@ -180,8 +171,24 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list, list]
             start = end
 
 
+#: Spans of short strings that a worker has met; forgotten when they grow too many.
+_met: dict[str, list[tuple[int, int, str]]] = {}
+MET, SHORT = 200_000, 200
+
+
 def _tag(fields: list, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    return [[] if f == "pseudonym" and _PSEUDONYM.fullmatch(t.strip()) else check(t, raw) for f, t, raw in zip(fields, texts, tagger.tag(_weights(), texts), strict=True)]
+    """Spans of each text; a text that stands several times in a group, or a short one met before, is tagged once."""
+    new = [t for t in dict.fromkeys(texts) if t not in _met]
+    found = {t: check(t, raw) for t, raw in zip(new, tagger.tag(_weights(), new), strict=True)}
+    out = [[] if f == "pseudonym" and _PSEUDONYM.fullmatch(t.strip()) else found[t] if t in found else _met[t] for f, t in zip(fields, texts, strict=True)]
+    if len(_met) > MET:
+        _met.clear()
+    _met.update((t, spans) for t, spans in found.items() if len(t) <= SHORT)
+    return out
+
+
+def tag_texts(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    return _tag(["text"] * len(texts), texts)
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

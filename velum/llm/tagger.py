@@ -88,10 +88,6 @@ def read(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
-
-
 def _pass(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """Hidden states (T, B, H) of one direction over codes x (T, B); the backward one runs from the end."""
     steps, size = x.shape
@@ -198,8 +194,8 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[fl
     return float((z - gold).sum() / n), g
 
 
-def viterbi(p: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
-    """Best labels of one text's scores (T, L); a further character follows only one of its kind."""
+def _moves(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(move, begin) under which a further character follows only one of its kind."""
     move = p["move"].copy()
     begin = p["begin"].copy()
     for k in range(len(KINDS)):
@@ -208,17 +204,41 @@ def viterbi(p: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
         ok[[inner - 1, inner]] = True
         move[~ok, inner] = -1e4
         begin[inner] = -1e4
-    best = e[0] + begin
-    back = np.empty((len(e), LABELS), np.int8)
-    for t in range(1, len(e)):
-        s = best[:, None] + move
-        back[t] = s.argmax(0)
-        best = s.max(0) + e[t]
-    out = np.empty(len(e), np.int8)
-    out[-1] = best.argmax()
-    for t in range(len(e) - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    return move, begin
+
+
+def viterbi(p: dict[str, np.ndarray], es: list[np.ndarray]) -> list[np.ndarray]:
+    """Best labels of each text's scores (T, L), decoded side by side, one step for all of them; a further character
+    follows only one of its kind."""
+    es, all_ = [e for e in es if len(e)], es
+    if not es:
+        return [np.zeros(0, np.int8) for _ in all_]
+    move, begin = _moves(p)
+    order = sorted(range(len(es)), key=lambda k: -len(es[k]))
+    sizes = np.array([len(es[k]) for k in order])
+    flat = np.concatenate([es[k] for k in order])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    best = flat[starts] + begin
+    back = np.empty((len(flat), LABELS), np.int8)
+    across = np.ascontiguousarray(move.T)
+    for t in range(1, int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -t, "left"))  # the stretches longer than t come first
+        s = best[:n, None, :] + across
+        at = s.argmax(2)
+        back[starts[:n] + t] = at
+        best[:n] = np.take_along_axis(s, at[:, :, None], 2)[:, :, 0] + flat[starts[:n] + t]
+    labels = np.empty(len(flat), np.int8)
+    label = best.argmax(1)
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        labels[starts[:n] + t] = label[:n]
+        if t:
+            label[:n] = back[starts[:n] + t, label[:n]]
+    out: list[np.ndarray] = [labels[:0]] * len(es)
+    for k, s, size in zip(order, starts, sizes, strict=True):
+        out[k] = labels[s : s + size]
+    rest = iter(out)
+    return [next(rest) if len(e) else labels[:0] for e in all_]
 
 
 def scores(p: dict[str, np.ndarray], texts: list[str], batch: int = 384) -> list[np.ndarray]:
@@ -259,15 +279,4 @@ def spans(labels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def tag(p: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) of the data in every text, decoded over the whole text at once."""
-    found = []
-    for e in scores(p, texts):
-        if not len(e):
-            found.append([])
-            continue
-        # stretches whose best label is outside by far need no decoding
-        sure = (e[:, 0] - e[:, 1:].max(1)) > 12
-        if sure.all():
-            found.append([])
-            continue
-        found.append(spans(viterbi(p, e)))
-    return found
+    return [spans(labels) for labels in viterbi(p, scores(p, texts))]
