@@ -2,8 +2,8 @@
 
 Texts are folded to words without case, accents and punctuation. Documents that share a seed of five words with an
 item are joined with it; within such a pair the longest non-overlapping matches are marked again and again,
-found by running Karp-Rabin hashes. Tiles on neighbouring diagonals make a passage; an item leaks when its dense
-passages cover at least half of its words, in whatever order they stand.
+found by running Karp-Rabin hashes. Tiles on neighbouring diagonals make a passage; an item leaks when one dense
+passage covers at least half of its words, or several that were reordered cover nearly all of them.
 """
 
 from __future__ import annotations
@@ -24,12 +24,16 @@ from velum.sources.tables import load, publish, spread
 #: Words of a seed; least words of a tile; words by which neighbouring tiles may be apart; passage and cover limits.
 SEED, TILE, GAP = 5, 3, 4
 PASSAGE, DENSITY, COVER = 0.3, 0.75, 0.5
+#: Part of an item that passages in another order must cover together.
+WHOLE = 0.9
 #: Share of the words needed that must start a seed the texts share, on neighbouring diagonals, to try tiling.
 SEEDED = 0.2
-#: Words of an item by which its cover may fall short: replaced words at the ends of a passage.
-SLACK = 2
-#: Seeds of all items that tasks may hold at once (8 bytes each); beyond it seeds are joined by shuffle.
-SEEDS_IN_MEMORY = 4_000_000
+#: Words of an item by which its cover may fall short: a replaced word at the end of a passage.
+SLACK = 1
+#: Seeds of all items that a task may hold at once (some 200 bytes each with their places); beyond it seeds are joined by shuffle.
+SEEDS_IN_MEMORY = 1_000_000
+#: Parts into which that join splits each seed, so that a stock formula's seeds stand in no one task.
+SALTS = 32
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
@@ -138,7 +142,7 @@ def seeded_part(item_seeds: dict[int, list[int]], doc_seeds: list[int], need: fl
 
 
 def leaked(item: list[int], doc: list[int]) -> bool:
-    """Whether the dense passages of `doc` cover at least half of `item`."""
+    """Whether a dense passage of `doc` covers at least half of `item`, or several cover WHOLE of it."""
     need = COVER * len(item) - SLACK
     marks = tiles(item, doc)
     if sum(n for _, _, n in marks) < DENSITY * need:
@@ -155,12 +159,15 @@ def leaked(item: list[int], doc: list[int]) -> bool:
             best[1].append((i, j, n))
         else:
             chains.append([(i, j, n)])
-    cover = 0
+    held = bytearray(len(item))
     for c in chains:
-        span = c[-1][0] + c[-1][2] - c[0][0]
-        if span >= min(PASSAGE * len(item), need) and sum(n for _, _, n in c) >= DENSITY * span:
-            cover += span
-    return cover >= need
+        first, last = c[0][0], c[-1][0] + c[-1][2]
+        if sum(n for _, _, n in c) >= DENSITY * (last - first):
+            if last - first >= need:
+                return True
+            if last - first >= PASSAGE * COVER * len(item):
+                held[first:last] = b"\1" * (last - first)
+    return sum(held) >= WHOLE * len(item)
 
 
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +284,7 @@ def _held(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBat
 
 
 def leaks(docs: DataFrame, items: DataFrame, in_memory: int = SEEDS_IN_MEMORY) -> DataFrame:
-    """(doc_id, item_id): the documents that hold an item, or passages of at least half of its words.
+    """(doc_id, item_id): the documents that hold an item in whatever order, or a passage of at least half of its words.
 
     docs(doc_id, text), items(item_id, text). Null, empty and blank texts hold nothing and are held by nothing;
     items of fewer than SEED words have no seed and match nothing; repeated rows count once. A pair is tiled if it
@@ -296,7 +303,9 @@ def leaks(docs: DataFrame, items: DataFrame, in_memory: int = SEEDS_IN_MEMORY) -
         name = publish(docs.sparkSession, pickle.dumps([tuple(r) for r in wanted.collect()], 5), ".items")
         return spread(docs).mapInArrow(lambda it: _held(it, name), "doc_id long, item_id long").distinct()
     marked = spread(docs).mapInArrow(lambda it: _doc_seeds(it, None), "doc_id long, seed long")
-    pairs = marked.join(seeded, "seed").groupBy("doc_id", "item_id").agg(F.countDistinct("seed").alias("n"), F.max("least").alias("least")).filter("n >= least")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    parted = seeded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = marked.withColumn("salt", salt).join(parted, ["seed", "salt"]).groupBy("doc_id", "item_id").agg(F.countDistinct("seed").alias("n"), F.max("least").alias("least")).filter("n >= least")
     of_doc = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
     return docs.join(of_doc, "doc_id").select("doc_id", "text", "items").mapInArrow(_verify, "doc_id long, item_id long").distinct()
 
