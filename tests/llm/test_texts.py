@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -34,6 +35,7 @@ def units(text):
         ("هل الشرط صحيح؟ رفض الطلب!", ["هل الشرط صحيح؟", "رفض الطلب!"]),
         ("Am 3. Juni kam Herr Dr. Braun nach Bonn und sah das Haus. Er ging.", ["Am 3. Juni kam Herr Dr. Braun nach Bonn und sah das Haus.", "Er ging."]),
         ("Grazie. buongiorno, sono qui.", ["Grazie.", "buongiorno, sono qui."]),
+        ("La prova\r\nmanca. Fine.\r\n\r\nAltro", ["La prova\r\nmanca.", "Fine.", "Altro"]),
         ("", []), (" \n\n ", []),
     ],
 )
@@ -94,6 +96,18 @@ def test_gradient_of_the_tagger():
         assert abs((tagger.gradient(up, x, y)[0] - tagger.gradient(down, x, y)[0]) / 2e-2 - g[k][i]) < 2e-3, k
 
 
+def test_viterbi_against_all_paths():
+    r = np.random.default_rng(3)
+    p = tagger.fresh()
+    p["move"] = r.standard_normal(p["move"].shape).astype(np.float32)
+    allowed = lambda a, b: b % 2 or not b or a in (b - 1, b)
+    es = [r.standard_normal((n, tagger.LABELS)).astype(np.float32) for n in (3, 0, 1, 3, 2)]
+    for e, found in zip(es, tagger.viterbi(p, es), strict=True):
+        paths = [x for x in itertools.product(range(tagger.LABELS), repeat=len(e)) if not x or (x[0] % 2 or not x[0]) and all(map(allowed, x, x[1:]))]
+        score = lambda x: sum(e[t, y] for t, y in enumerate(x)) + (p["begin"][x[0]] if x else 0) + sum(p["move"][a, b] for a, b in itertools.pairwise(x))  # noqa: B023, E731
+        assert tuple(found.tolist()) == max(paths, key=score)
+
+
 def test_tagger_on_held_out_texts():
     # texts of another seed than any training batch had
     maker = pii_train.Maker(987_654_321)
@@ -138,6 +152,11 @@ def test_pieces():
     assert pieces.pieces("") == [] and pieces.pieces("abc") == [(0, 3)] and len(pieces.pieces("z" * 9000)) == 4
 
 
+def test_line_ends_of_blocks():
+    assert pieces.blocks("a\r\nb") == [(0, 4)] and pieces.blocks("a\r\n\r\nb") == [(0, 1), (5, 6)]
+    assert pieces.blocks("a\rb\r\rc\n\rd") == [(0, 3), (5, 6), (8, 9)]
+
+
 def test_oversized_blocks(spark):
     big = "a " * 1600
     df = spark.createDataFrame([(1, f"uno\n\n{big}\nb\n \ndue"), (2, None), (3, "x\n\n" * 2000), (4, "")], "doc_id long, text string")
@@ -223,6 +242,28 @@ def test_markup_tables(spark):
     assert {r.doc_id: r.text for r in markup.cleaned(df).collect()} == {1: "# A\n\n# A\n\nb", 3: ""}
 
 
+def test_markup_paths_that_are_no_content():
+    menu = "".join(f'<li><a href="/{k}">{k}</a></li>' for k in ("Home", "Sentenze", "Massime", "Contatti"))
+    body = "".join(f"<p>Il giudice, sentite le parti, ha disposto la consulenza n. {i}; il perito ha depositato la relazione.</p>" for i in range(4))
+    page = (
+        f"<html><body><nav><h2>Menu</h2><ul>{menu}</ul></nav><div><h1>Fatto</h1>{body}<ul><li>il verbale</li><li>la <a href='/p'>perizia</a> giurata</li></ul>"
+        "<pre>x = 1</pre></div><footer><a href='/x'>Privacy</a> <a href='/y'>Cookie</a></footer></body></html>"
+    )
+    assert kinds(page) == [("heading", "Fatto"), ("item", "il verbale"), ("item", "la perizia giurata"), ("code", "x = 1")]
+    assert "Privacy" not in markup.clean(page) and "consulenza n. 3" in markup.clean(page)
+    # the ratios decide: without them the menu stays
+    everything = [(x.kind, x.text) for x in markup.html_leaves(page) if x.kind != "text"]
+    assert ("heading", "Menu") in everything and ("item", "Home") in everything
+    # a page of nothing but links has no other content to stand back to
+    assert kinds(f"<ul>{menu}</ul>") == [("item", k) for k in ("Home", "Sentenze", "Massime", "Contatti")]
+
+
+def test_markup_of_two_kinds():
+    prose = "Il giudice, sentite le parti, ha disposto la consulenza; il perito ha depositato la relazione."
+    text = f"# Fatto\n\n{prose}\n\n<div>\n<h3>Atti</h3>\n<ul><li>il verbale<li>la <b>perizia</b></ul>\n</div>\n\n- due *note*\n\n```\n<p># no</p>\n```\n"
+    assert kinds(text) == [("heading", "Fatto"), ("heading", "Atti"), ("item", "il verbale"), ("item", "la perizia"), ("item", "due note"), ("code", "<p># no</p>")]
+
+
 # --- problem 7
 
 COMMON = frozenset("mario anna teresa alessandro tipografia ceramiche maria".split())
@@ -320,10 +361,11 @@ def test_leaks(spark):
     vocabulary = [f"parola{i}" for i in range(3000)]
     items = {i: [r.choice(vocabulary) for _ in range(60)] for i in range(5)}
     noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    two = items[0][:24] + noise(30) + items[0][36:]  # two quotations, neither of them half
     changed = list(items[2])
     changed[10] = changed[30] = changed[50] = "altro"
     docs = {
-        0: noise(50) + [w.upper() + "," for w in items[0]] + noise(40), 1: noise(30) + items[1][20:55], 2: changed, 3: items[3][:12] + noise(60), 4: items[4][30:] + noise(20) + items[4][:30], 5: noise(100),
+        0: noise(50) + [w.upper() + "," for w in items[0]] + noise(40), 1: noise(30) + items[1][20:55], 2: changed, 3: items[3][:12] + noise(60), 4: items[4][30:] + noise(20) + items[4][:30], 5: noise(100), 6: two,
     }
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()] + [(0, " ".join(docs[0])), (8, None), (9, "")], "doc_id long, text string")
     it = spark.createDataFrame([(i, " ".join(d)) for i, d in items.items()] + [(77, None), (78, "")], "item_id long, text string")

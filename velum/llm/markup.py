@@ -1,16 +1,20 @@
 """Clean text from documents with markup (problem 6): HTML, Markdown, wiki text and LaTeX, by tag-path ratios.
 
-Every dialect is read into leaves: (path from the root, kind, text). Per path the lengths of text, its punctuation and
-the share inside links are summed; both ratios are smoothed along the page and fused, and paths far under the page's
-level that are nothing but links are left out. Headings, list items, code and formulas keep their kind.
+Every dialect is read into leaves: (path from the root, kind, text). Per root-to-leaf path the lengths of text outside
+links and its punctuation are summed and divided by the path's leaves; both ratios are smoothed over the paths that
+stand side by side and fused, and a path whose score falls under the deviation of the page's scores is no content: navigation,
+link lists, boilerplate. Code and formulas are judged by the best of their path and the subtree around it, headings by
+the section they head.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+import statistics
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -20,9 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from velum.sources.tables import latest, load, spread
 
-#: Width of the smoothing along the leaves; part of the page's mean score under which a path of links is left out.
-SMOOTH, THRESHOLD = 2, 0.5
-LINKED = 0.9
+#: Weight of the neighbouring paths in the smoothing, and of the page's mean in a path's ratios (in leaves); deviations of the page's scores under which a path is no content.
+SMOOTH, PRIOR, THRESHOLD = 0.15, 0.05, 1.0
 
 
 class Leaf(NamedTuple):
@@ -32,6 +35,7 @@ class Leaf(NamedTuple):
     linked: int = 0  # characters inside links
 
 
+MARKS = frozenset(".,;:!?…。、，；：！？।؟،")
 _DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
 _INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]*?[^\s$\\])\$(?![\d$])")
 
@@ -53,6 +57,8 @@ def dialect(text: str) -> str:
         "markdown": len(re.findall(r"(?m)^(?:#{1,6}[ \t]|```|~~~|=+[ \t]*$|-{3,}[ \t]*$)|\]\((?:https?:|/|#)|\*\*", text)),
     }
     best = max(marks, key=lambda k: (marks[k], k == "markdown"))
+    if best == "html" and re.search(r"(?m)^(?:#{1,6}[ \t]+\S|```|~~~)", re.sub(r"(?is)<pre\b.*?</pre>", "", text)):
+        return "markdown"  # whose reader takes blocks of HTML as such
     return best if marks[best] else "markdown"
 
 
@@ -99,6 +105,8 @@ def _md_inline(s: str) -> str:
     return re.sub("\x01(\\d+)\x01", lambda m: held[int(m.group(1))], s)
 
 
+#: Elements that begin a block of HTML inside Markdown.
+_HTML_BLOCK = re.compile(r"^ {0,3}<(div|p|ul|ol|h[1-6]|table|section|article|nav|aside|header|footer|main|dl|figure)\b[^>]*>", re.I)
 _ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(\S.*)$")
 
 
@@ -134,6 +142,16 @@ def markdown(text: str) -> Iterator[Leaf]:
                 i += 1
             yield Leaf("md/pre", "code", _bare("\n".join(code)))
             i += 1
+        elif not para and (m := _HTML_BLOCK.match(line)):
+            # to the line that closes the element, or to the end
+            tag = re.compile(rf"<(/?){m.group(1)}\b", re.I)
+            depth, first = 0, i
+            while i < n:
+                depth += sum(-1 if x.group(1) else 1 for x in tag.finditer(lines[i]))
+                i += 1
+                if depth <= 0:
+                    break
+            yield from (x._replace(path="md/" + x.path) for x in html_leaves("\n".join(lines[first:i])))
         elif m := re.match(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line):
             yield from flush()
             yield Leaf("md/h", "heading", _flat(_md_inline(m.group(1) or "")))
@@ -317,7 +335,7 @@ def wiki(text: str) -> Iterator[Leaf]:
         if para:
             raw = "\n".join(para)
             para.clear()
-            linked = sum(len(x) for x in re.findall(r"\[\[([^\]]*)\]\]", raw))
+            linked = sum(len(x.split("|")[-1]) for x in re.findall(r"\[\[([^\]]*)\]\]", raw))
             for k, piece in enumerate(re.split("\x02(\\d+)\x02", raw)):
                 if k % 2:
                     yield held[int(piece)]
@@ -335,7 +353,7 @@ def wiki(text: str) -> Iterator[Leaf]:
             ids = re.findall("\x02(\\d+)\x02", body)
             body = re.sub("\x02(\\d+)\x02", lambda x: held[int(x.group(1))].text, body)
             if t := _flat(_wiki_inline(body)):
-                yield Leaf("wiki/" + "/".join("ul" if c == "*" else "ol" for c in m.group(1)) + "/li", "item", t, sum(len(x) for x in re.findall(r"\[\[([^\]]*)\]\]", body)))
+                yield Leaf("wiki/" + "/".join("ul" if c == "*" else "ol" for c in m.group(1)) + "/li", "item", t, sum(len(x.split("|")[-1]) for x in re.findall(r"\[\[([^\]]*)\]\]", body)))
             for k in ids:
                 yield held[int(k)]
         elif not line.strip():
@@ -452,26 +470,60 @@ def latex(text: str) -> Iterator[Leaf]:
 READERS = {"markdown": markdown, "html": html_leaves, "wiki": wiki, "latex": latex}
 
 
+def path_scores(leaves: list[Leaf]) -> dict[str, float]:
+    """The fused score of each path: logarithms of its text and punctuation a leaf, smoothed over the paths beside it.
+
+    Text inside links counts for neither, so a path of nothing but links has no text of its own.
+    """
+    size, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
+    beside: dict[str, set[str]] = defaultdict(set)
+    for x, after in zip(leaves, [*leaves[1:], None], strict=True):
+        own = max(0, len(x.text) - x.linked)
+        size[x.path] += own
+        marks[x.path] += sum(c in MARKS for c in x.text) * own / len(x.text)
+        count[x.path] += 1
+        if after is not None and after.path != x.path:
+            beside[x.path].add(after.path)
+            beside[after.path].add(x.path)
+
+    def smooth(ratio: dict[str, float]) -> dict[str, float]:
+        return {p: (1 - SMOOTH) * r + SMOOTH * sum(ratio[o] for o in beside[p]) / len(beside[p]) if beside[p] else r for p, r in ratio.items()}
+
+    def ratio(of: dict[str, float]) -> dict[str, float]:
+        mean = sum(of.values()) / len(leaves)
+        return {p: math.log1p((of[p] + PRIOR * mean) / (count[p] + PRIOR)) for p in count}
+
+    text, punctuation = smooth(ratio(size)), smooth(ratio(marks))
+    return {p: text[p] + punctuation[p] for p in count}
+
+
 def selected(leaves: list[Leaf]) -> list[Leaf]:
-    """The content leaves, by fused text and punctuation ratios of their paths."""
-    size, marks, linked, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    """The leaves of content paths, by the fused ratios of the paths."""
+    if not leaves:
+        return []
+    scores = path_scores(leaves)
+    level = THRESHOLD * statistics.pstdev(scores[x.path] for x in leaves)
+    around: dict[str, float] = defaultdict(float)  # the best path of each subtree
+    for p, score in scores.items():
+        while "/" in p:
+            p = p.rsplit("/", 1)[0]
+            around[p] = max(around[p], score)
+    alone = Counter(x.path for x in leaves)
+    kept = []
     for x in leaves:
-        size[x.path] += len(x.text)
-        marks[x.path] += sum(c in ".,;:!?" for c in x.text)
-        linked[x.path] += x.linked
-        count[x.path] += 1
-    text_ratio = [size[x.path] / count[x.path] for x in leaves]
-    mark_ratio = [marks[x.path] / count[x.path] for x in leaves]
-
-    def smooth(v: list[float]) -> list[float]:
-        return [sum(v[max(0, i - SMOOTH) : i + SMOOTH + 1]) / len(v[max(0, i - SMOOTH) : i + SMOOTH + 1]) for i in range(len(v))]
-
-    fused = [a * (1 + b) for a, b in zip(smooth(text_ratio), smooth(mark_ratio), strict=True)]
-    level = THRESHOLD * sum(fused) / len(fused) if fused else 0
-    return [
-        x for x, f in zip(leaves, fused, strict=True)
-        if x.text and not (f < level and count[x.path] > 2 and linked[x.path] >= LINKED * size[x.path] and x.kind in ("text", "item"))
-    ]
+        score = scores[x.path]
+        if x.kind in ("code", "formula"):
+            score = max(score, around[x.path.rsplit("/", 1)[0]])
+        kept.append(score >= level or x.kind == "item" and alone[x.path] == 1)  # one item is no list of links
+    # a heading stands and falls with its section; one without a section stands by itself
+    section: list[bool] = []
+    for i in range(len(leaves) - 1, -1, -1):
+        if leaves[i].kind == "heading":
+            kept[i] = any(section) if section else True
+            section = []
+        else:
+            section.append(kept[i])
+    return [x for x, k in zip(leaves, kept, strict=True) if k]
 
 
 def leaves(text: str) -> list[Leaf]:
