@@ -8,6 +8,7 @@ from velum.functions import text as tx
 from velum.functions.patterns import BY_NAME, PATTERNS
 from velum.operators import extract, pseudonyms, redact, resolve, review, spans
 from velum.operators.numbering import numbered
+from velum.plans import pipeline
 from velum.plans.pipeline import Settings, analyze
 from velum.sources import files, pdf
 
@@ -310,3 +311,81 @@ def test_stream_reuses_the_dictionary(spark, tmp_path):
     got = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "EMAIL_001", 2: "EMAIL_002 e EMAIL_001"}
     assert len(PATTERNS) == 17
+
+
+def packed(xml, part="word/document.xml"):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(part, xml)
+    return out.getvalue()
+
+
+def test_docx_keeps_its_markup(spark):
+    w, mc = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/markup-compatibility/2006"
+    xml = (
+        f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{w}" xmlns:mc="{mc}" xmlns:w14="urn:w14" xmlns:ns1="urn:x" mc:Ignorable="w14 ns1"><w:body>'
+        "<w:p><w:r><w:t>Mario </w:t></w:r><w:r><w:t>Rossi &amp; Rossi</w:t></w:r><w:r><w:pict><w:p><w:r><w:t>den<![CDATA[tro Ro]]>ssi</w:t></w:r></w:p></w:pict></w:r><w:r><w:t> paga</w:t></w:r></w:p>"
+        "</w:body></w:document>"
+    )
+    content = packed(xml)
+    assert files.docx_text(content) == ("Mario Rossi & Rossi paga\ndentro Rossi", 1)
+    data, n = files.redact_container("a.docx", content, [("Mario Rossi", "M. R."), ("rossi", "<R>")])
+    new = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode()
+    assert n == 3 and new.startswith(xml[: xml.index("<w:p>")])
+    assert files.docx_text(data)[0] == "M. R. & <R> paga\ndentro <R>"
+    # an unchanged file keeps every byte of its part
+    assert zipfile.ZipFile(io.BytesIO(files.redact_container("a.docx", content, [("Zeta", "Z")])[0])).read("word/document.xml").decode() == xml
+    rows = [("a.docx", bytearray(content)), ("b.docx", bytearray(packed("<w:x"))), ("c.odt", bytearray(b"")), ("d.docx", bytearray(packed(f'<w:document xmlns:w="{w}"><w:body/></w:document>')))]
+    src = spark.createDataFrame(rows, "path string, content binary")
+    ents = spark.createDataFrame([(p, "Rossi", "R.", True) for p, _ in rows], "path string, original_text string, pseudonym string, confirmed boolean")
+    out = {r.path: r.error for r in files.redact_containers(src, ents).collect()}
+    assert out["a.docx"] is None and out["b.docx"] and out["c.odt"] and out["d.docx"] is None
+    assert {r.path: list(r.warnings) for r in files.parse(src).collect()}["d.docx"] == ["no text in its body"]
+
+
+def test_text_sinks(spark, tmp_path):
+    rows = [("/d/a.txt", bytearray("Mario\r\nRossi e MARIO".encode())), ("/d/b.md", bytearray(b"# Mario\n\n*Rossi*")), ("/d/c.pdf", bytearray(b"x"))]
+    src = spark.createDataFrame(rows, "path string, content binary")
+    ents = spark.createDataFrame([(p, 0, "Mario", "M.", True) for p, _ in rows], "path string, seq int, original_text string, pseudonym string, confirmed boolean")
+    out = files.redact_texts(src, ents)
+    assert {r.output_path: (r.text, r.entities_replaced) for r in out.collect()} == {"/d/a_anonimizzato.txt": ("M.\r\nRossi e M.", 1), "/d/b_anonimizzato.md": ("# M.\n\n*Rossi*", 1)}
+    files.write_texts(out, f"file://{tmp_path}/out")
+    assert (tmp_path / "out" / "a_anonimizzato.txt").read_bytes() == b"M.\r\nRossi e M." and len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_pseudonyms_of_a_language_model(spark):
+    rows = [(1, 0, "PERSONA", "Mara Riva", None), (1, 1, "PERSONA", "Mario Rossi", "M. R."), (2, 0, "PERSONA", "Anna Neri", " "), (2, 1, "ORGANIZZAZIONE", "Alfa Srl", "Società A"), (3, 0, "PERSONA", "MARIO ROSSI", "X. Y.")]
+    ents = spark.createDataFrame(rows, "doc_id long, seq int, type string, original_text string, replacement string")
+    got = {r.key: r.pseudonym for r in pseudonyms.assign(pseudonyms.arrivals(ents, "replacement")).collect()}
+    # names that come with a replacement arrive before the others of their document
+    assert got == {"mario rossi": "M. R.", "mara riva": "M. R. (2)", "anna neri": "A. N.", "alfa srl": "Società A"}
+
+
+def test_aliases_in_safe_mode(spark):
+    docs = spark.createDataFrame([(1, "Mario Rossi paga. ROSSI MARIO tace. Il dott. Mario Rossi Neri no.")], "doc_id long, text string")
+    names = spark.createDataFrame([(1, 0, 0, "Mario Rossi", "M. R.", "PERSONA"), (1, 0, 1, "Rossi  Mario", "X", "PERSONA"), (1, 0, 2, "ROSSI MARIO", "Y", "PERSONA")], "doc_id long, chunk int, idx int, original string, replacement string, type string")
+    found = pipeline.analyze(docs, names=names)
+    rows = {r.original_text: list(r.aliases) for r in found.collect()}
+    assert rows["Mario Rossi"] == ["ROSSI MARIO", "Rossi  Mario"] and "ROSSI MARIO" not in rows
+    safe, _ = pipeline.anonymize(docs, found, mode="safe")
+    assert safe.collect()[0].text == "M. R. paga. M. R. tace. Il dott. M. R. Neri no."
+    compat, _ = pipeline.anonymize(docs, found)
+    assert "ROSSI MARIO" in compat.collect()[0].text
+
+
+def test_batch_errors(spark):
+    docs = spark.createDataFrame([(1, "scrivere a a@x.it", None), (2, None, "no DOCX file"), (3, " ", None)], "doc_id long, text string, error string")
+    results, totals = pipeline.batch(docs)
+    assert {r.doc_id: (r.text, r.entities_replaced, r.error) for r in results.collect()} == {1: ("scrivere a EMAIL_001", 1, None), 2: (None, None, "no DOCX file"), 3: (None, None, "no text")}
+    assert tuple(totals.collect()[0]) == (1, 2, 1)
+
+
+def test_scanned_routes(spark):
+    docs = spark.createDataFrame([(1, "pdf", "ab", 1), (2, "pdf", "x" * 100, 1), (3, "image", None, None), (4, "pdf", None, 2), (5, "txt", "ab", 1)], "doc_id long, format string, text string, page_count int")
+    pages = spark.createDataFrame([(1, 1, "uno", 50.0), (1, 2, "due", 90.0), (2, 1, "no", 90.0), (3, 1, "tre", None), (5, 1, "no", 90.0)], "doc_id long, page int, text string, confidence double")
+    got = {r.doc_id: (r.text, r.page_count, r.source, list(r.warnings)) for r in pdf.routed(docs, pdf.ocr_texts(pages)).collect()}
+    assert got[1] == ("uno\n\ndue", 2, "ocr", ["scanned: 2 characters a page", "low confidence: 1 pages"]) and got[2] == ("x" * 100, 1, "digital", [])
+    assert got[3] == ("tre", 1, "ocr", []) and got[4] == (None, 2, "digital", ["scanned: 0 characters a page", "no readings of its pages"]) and got[5][2] == "digital"
+    digital = spark.createDataFrame([(1, 2, "DUE"), (1, 3, "TRE")], "doc_id long, page int, text string")
+    rows = {(r.doc_id, r.page): (r.text, r.confidence) for r in pdf.page_fallback(pages.withColumn("text", F.when(F.col("page") == 2, " ").otherwise(F.col("text"))), digital).collect()}
+    assert rows[1, 1] == ("uno", 50.0) and rows[1, 2] == ("DUE", 100.0) and rows[1, 3] == ("TRE", 100.0) and rows[3, 1] == ("tre", None)

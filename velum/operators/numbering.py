@@ -16,8 +16,8 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str = "ra
     decide all ties. The sorted rows are written once, since ranges are sampled anew at every evaluation.
     """
     keys = [*groups, *order]
-    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("*", F.monotonically_increasing_id().alias("_place"))
+    # as many ranges as spark.sql.shuffle.partitions, joined by their measured size where they are small
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.monotonically_increasing_id().alias("_place"))
     placed = saved(placed.withColumn("_task", F.shiftright("_place", 33)), "numbered")
     part = placed.groupBy("_task", *groups).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(*groups).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)

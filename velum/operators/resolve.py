@@ -20,15 +20,23 @@ def same_name(a: Column, b: Column) -> Column:
     return (F.size(a) >= 2) & (F.size(b) >= 2) & (F.size(F.array_intersect(a, b)) == F.least(F.size(a), F.size(b)))
 
 
-def gathered(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text, es): a document's entities by seq, with tokens and counts; a document bounds the array."""
+def gathered(entities: DataFrame, docs: DataFrame, alone: bool = False) -> DataFrame:
+    """(doc_id, text, es): a document's entities by seq, with tokens and counts; a document bounds the array.
+
+    `alone` adds how often an entity stands by itself, counted only where a longer one of its type holds it.
+    """
     rows = entities.select("doc_id", F.struct("seq", "type", "original_text").alias("e")).filter("e.original_text is not null and e.original_text <> ''")
     per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("raw"))
+
+    def held(e: Column) -> Column:
+        longer = lambda o: (F.length(o["original_text"]) > F.length(e["original_text"])) & o["type"].eqNullSafe(e["type"]) & F.lower(o["original_text"]).contains(F.lower(e["original_text"]))
+        return F.when(F.exists("raw", longer), F.coalesce(standalone_count(F.col("text"), e["original_text"]), F.lit(0))).otherwise(F.lit(0))
+
     counted = F.transform(
         "raw",
         lambda e: F.struct(
             e["seq"].alias("seq"), e["type"].alias("type"), e["original_text"].alias("original_text"), F.lower(e["original_text"]).alias("low"), name_tokens(e["original_text"]).alias("tokens"),
-            F.coalesce(literal_count(F.col("text"), e["original_text"]), F.lit(0)).alias("occ"), F.coalesce(standalone_count(F.col("text"), e["original_text"]), F.lit(0)).alias("alone"),
+            F.coalesce(literal_count(F.col("text"), e["original_text"]), F.lit(0)).alias("occ"), (held(e) if alone else F.lit(0)).alias("alone"),
             F.size(F.split(trim_all(e["original_text"]), f"[{SPACES}]+")).alias("n_words"),
         ),
     )
@@ -58,12 +66,28 @@ def greedy_dedupe(entities: DataFrame, docs: DataFrame) -> DataFrame:
     Of two of one name the one with fewer words stays, at a tie the more frequent, then the earlier; dropped names
     meet no later one, but one that is dropped while it is compared is compared to the end.
     """
-    es = gathered(entities, docs).withColumn("ns", F.filter("es", lambda e: e["type"].isin("PERSONA", "ORGANIZZAZIONE"))).filter("size(ns) > 0")
-    gone = es.withColumn("gone", F.expr(_FOLD))
+    gone = _resolved(entities, docs)
     flags = F.transform("ns", lambda e, i: F.struct(e["seq"].alias("seq"), F.array_contains("gone", i.cast("int")).alias("dropped")))
     return gone.select("doc_id", F.inline(flags))
 
 
+def _resolved(entities: DataFrame, docs: DataFrame) -> DataFrame:
+    es = gathered(entities, docs).withColumn("ns", F.filter("es", lambda e: e["type"].isin("PERSONA", "ORGANIZZAZIONE"))).filter("size(ns) > 0")
+    return es.select("doc_id", "ns").withColumn("gone", F.expr(_FOLD))
+
+
+def aliases(entities: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, alias): for each name that stays, the spellings dropped in its favour.
+
+    A dropped name belongs to the first one that stays and is the same name; one that was dropped for a name that was
+    dropped in turn, and is the same as none that stays, belongs to none.
+    """
+    numbered = _resolved(entities, docs).withColumn("all", F.transform("ns", lambda e, i: F.struct(e["seq"].alias("seq"), e["original_text"].alias("original_text"), e["tokens"].alias("tokens"), F.array_contains("gone", i.cast("int")).alias("dropped"))))
+    owner = lambda d: F.get(F.filter("all", lambda e: ~e["dropped"] & same_name(e["tokens"], d["tokens"])), F.lit(0))["seq"]
+    pairs = F.transform(F.filter("all", lambda e: e["dropped"]), lambda d: F.struct(owner(d).alias("seq"), d["original_text"].alias("alias")))
+    return numbered.select("doc_id", F.inline(pairs)).filter("seq is not null")
+
+
 def noise_flags(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, seq, occurrences, absent, within_longer, holds_shorter, kept): the three filters, on the full set.
 
@@ -71,7 +95,7 @@ def noise_flags(entities: DataFrame, docs: DataFrame) -> DataFrame:
     most twice as often as the most frequent of these. holds_shorter: a shorter name of two words or more inside it
     stands alone no more often than it occurs. Types found by patterns are only checked for absence.
     """
-    es = gathered(entities, docs)
+    es = gathered(entities, docs, alone=True)
 
     def flags(e: Column) -> Column:
         others = lambda longer: F.filter(

@@ -40,6 +40,21 @@ def review_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("doc_id").agg(F.count_if(F.col("confirmed")).alias("confirmed"), F.count("*").alias("entities"))
 
 
-def batch_totals(results: DataFrame) -> DataFrame:
-    """(done, failed, replaced) of results(doc_id, entities_replaced, error)."""
-    return results.agg(F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("entities_replaced"))), F.lit(0)).alias("replaced"))
+def results(docs: DataFrame, redacted: DataFrame) -> DataFrame:
+    """(doc_id, text, entities_replaced, error) of every document: its rewritten text, or why there is none.
+
+    docs(doc_id, text) may carry the `error` of its reading; a document without a text or with a blank one has failed.
+    """
+    read = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    state = docs.select("doc_id", F.coalesce(read, F.when(F.coalesce(trim_all(F.col("text")), F.lit("")) == "", F.lit("no text"))).alias("error"))
+    joined = state.join(redacted.select("doc_id", "text", "entities_replaced"), "doc_id", "left")
+    ok = F.col("error").isNull()
+    return joined.select("doc_id", F.when(ok, F.col("text")).alias("text"), F.when(ok, F.col("entities_replaced")).alias("entities_replaced"), "error")
+
+
+def batch_totals(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, done, failed, replaced) of results(doc_id, entities_replaced, error)."""
+    return results.groupBy(*by).agg(
+        F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("entities_replaced"))), F.lit(0)).alias("replaced"),
+    )

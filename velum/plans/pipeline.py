@@ -38,10 +38,11 @@ class Settings:
 
 
 def analyze(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, tokens: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """(doc_id, seq, type, original_text, key, occurrences, confirmed, replacement) of docs(doc_id, text).
+    """(doc_id, seq, type, original_text, key, occurrences, confirmed, replacement, aliases) of docs(doc_id, text).
 
     Patterns first; spans of a model's `tokens` and `names`(doc_id, chunk, idx, original, replacement, type) of a
-    language model are added where their text is new. Names that are one, absent or noisy are then resolved.
+    language model are added where their text is new. Names that are one, absent or noisy are then resolved; the other
+    spellings of a name that stays are its `aliases`.
     """
     base = extract.with_matches(spread(docs.select("doc_id", "text")), patterns).select("doc_id", F.inline(extract.first_matches(F.col("matches"))))
     rows = base.select("doc_id", F.struct("stage", "place", "ord").alias("at"), "type", F.col("raw").alias("original_text"), F.lit(None).cast("string").alias("replacement"))
@@ -55,27 +56,44 @@ def analyze(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, tokens: D
     ordered = saved(ordered, "entities")
     gone = resolve.greedy_dedupe(ordered, docs).filter("dropped").select("doc_id", "seq")
     kept = ordered.join(gone, ["doc_id", "seq"], "left_anti")
+    others = resolve.aliases(ordered, docs).groupBy("doc_id", "seq").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
     flags = resolve.noise_flags(kept, docs).filter("kept").select("doc_id", "seq", "occurrences")
-    final = kept.join(flags, ["doc_id", "seq"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("occurrences")).alias("less"), "seq", "type", "original_text", "replacement"))).alias("es"))
-    out = final.select("doc_id", F.posexplode("es").alias("seq", "e")).select("doc_id", "seq", "e.type", "e.original_text", "e.replacement", (-F.col("e.less")).alias("occurrences"))
+    row = F.struct((-F.col("occurrences")).alias("less"), "seq", "type", "original_text", "replacement", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    final = kept.join(flags, ["doc_id", "seq"]).join(others, ["doc_id", "seq"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("es"))
+    out = final.select("doc_id", F.posexplode("es").alias("seq", "e")).select("doc_id", "seq", "e.type", "e.original_text", "e.replacement", "e.aliases", (-F.col("e.less")).alias("occurrences"))
     return out.withColumn("key", F.lower("original_text")).withColumn("confirmed", F.col("type") != "LUOGO")
 
 
+def _named(entities: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities with pseudonyms, dictionary); a `replacement` that a language model gave is a name's base."""
+    given = "replacement" if "replacement" in entities.columns else None
+    dictionary = saved(pseudonyms.assign(pseudonyms.arrivals(entities, given), known), "dictionary")
+    return pseudonyms.enrich(entities, dictionary).withColumn("pseudonym", F.col("dictionary_pseudonym")), dictionary
+
+
 def anonymize(docs: DataFrame, entities: DataFrame, known: DataFrame | None = None, mode: str = "compat") -> tuple[DataFrame, DataFrame]:
-    """(texts, dictionary): rewritten documents, and the dictionary with the new keys."""
-    dictionary = saved(pseudonyms.assign(pseudonyms.arrivals(entities), known), "dictionary")
-    named = pseudonyms.enrich(entities, dictionary).withColumn("pseudonym", F.col("dictionary_pseudonym"))
+    """(texts, dictionary): rewritten documents, and the dictionary with the new keys.
+
+    In mode "safe" the `aliases` of an entity, where it has some, are replaced by its pseudonym as well; in "compat" they stay.
+    """
+    named, dictionary = _named(entities, known)
+    if mode == "safe" and "aliases" in entities.columns:
+        # seq orders ties of one length only; entities come before aliases
+        also = named.select("doc_id", (F.col("seq") + F.lit(1 << 20)).alias("seq"), F.explode("aliases").alias("original_text"), "pseudonym", "confirmed")
+        named = named.select("doc_id", "seq", "original_text", "pseudonym", "confirmed").unionByName(also)
     return redact.redact(docs, named, mode), dictionary
 
 
 def batch(docs: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, totals) of a batch: entities merged over its documents, reviewed, and applied to each."""
+    """(results, totals) of a batch: entities merged over its documents, reviewed, and applied to each.
+
+    results(doc_id, text, entities_replaced, error): a document that could not be read, or has no text, is an error row.
+    """
     entities = saved(extract.entities(docs), "batch-entities")
-    dictionary = saved(pseudonyms.assign(pseudonyms.arrivals(entities)), "dictionary")
-    named = pseudonyms.enrich(entities, dictionary).withColumn("pseudonym", F.col("dictionary_pseudonym"))
+    named, _ = _named(entities)
     merged = review.merge(named)
     if overrides is not None:
         merged = review.overridden(merged, overrides)
     chosen = review.for_files(merged, entities).join(entities.select("doc_id", "key", "seq"), ["doc_id", "key"])
-    results = redact.redact(docs, chosen).withColumn("error", F.lit(None).cast("string"))
+    results = review.results(docs, redact.redact(docs, chosen))
     return results, review.batch_totals(results)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.functions.text import LOW_CONFIDENCE, SCANNED_BELOW
+from velum.functions.text import LOW_CONFIDENCE, SCANNED_BELOW, trim_all
 
 #: How far a token may lie from its line, what counts as noise, a paragraph's gap, and headings, in parts of the median size.
 LINE_NEAR, SIZE_LEAST, LEADING, PARAGRAPH, H1, H2 = 3.0, 5.0, 1.4, 1.5, 1.6, 1.3
@@ -115,3 +115,38 @@ def ocr_texts(pages: DataFrame) -> DataFrame:
         F.array_join(F.transform(ordered, lambda p: F.coalesce(p["text"], F.lit(""))), "\n\n").alias("text"), F.count("*").alias("page_count"),
         F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") < LOW_CONFIDENCE).alias("low_pages"),
     )
+
+
+def page_fallback(ocr: DataFrame, digital: DataFrame) -> DataFrame:
+    """(doc_id, page, text, confidence): readings of scanned pages, and a page's digital text, taken as certain, where its reading is missing or blank.
+
+    ocr(doc_id, page, text, confidence), digital(doc_id, page, text).
+    """
+    o, d = ocr.select("doc_id", "page", "text", "confidence"), digital.select("doc_id", "page", F.col("text").alias("digital"))
+    read = F.coalesce(trim_all(F.col("text")), F.lit("")) != ""
+    joined = o.join(d, ["doc_id", "page"], "full")
+    return joined.select("doc_id", "page", F.when(read, F.col("text")).otherwise(F.coalesce("digital", "text")).alias("text"), F.when(read | F.col("digital").isNull(), F.col("confidence")).otherwise(F.lit(100.0)).alias("confidence"))
+
+
+def routed(docs: DataFrame, ocr: DataFrame) -> DataFrame:
+    """(doc_id, text, page_count, source, warnings): scanned PDF files and images with the text of their scanned pages.
+
+    docs(doc_id, format, text, page_count), ocr as `ocr_texts` gives it. A scanned file without readings keeps its digital
+    text; every other file keeps its own.
+    """
+    o = ocr.select("doc_id", F.col("text").alias("o_text"), F.col("page_count").alias("o_pages"), "low_pages", F.lit(True).alias("has"))
+    joined = docs.select("doc_id", "format", "text", "page_count").join(scanned(docs), "doc_id").join(o, "doc_id", "left")
+    thin = F.coalesce((F.col("format") == "pdf") & F.col("is_scanned"), F.lit(False))
+    use = (thin | F.coalesce(F.col("format") == "image", F.lit(False))) & F.coalesce("has", F.lit(False)) & (trim_all(F.col("o_text")) != "")
+    notes = F.filter(
+        F.array(
+            F.when(thin, F.concat(F.lit("scanned: "), F.round("chars_per_page").cast("int").cast("string"), F.lit(" characters a page"))),
+            F.when(use & (F.col("low_pages") > 0), F.concat(F.lit("low confidence: "), F.col("low_pages").cast("string"), F.lit(" pages"))),
+            F.when((thin | (F.col("format") == "image")) & ~use, F.lit("no readings of its pages")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return joined.select(
+        "doc_id", F.when(use, F.col("o_text")).otherwise(F.col("text")).alias("text"), F.when(use, F.col("o_pages").cast("int")).otherwise(F.col("page_count")).alias("page_count"),
+        F.when(use, F.lit("ocr")).otherwise(F.lit("digital")).alias("source"), notes.alias("warnings"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,20 +15,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """One row per key: the last delivery by `ts`, equal times decided by the row's other values.
+    """One row per key: the last delivery by `ts`, equal times decided by a hash of the row's other values.
 
-    Rows with a null key are kept as one group per null key; a null `ts` loses against any time.
-    Keys repeat a few times at most, so the window never sees a large group.
+    Rows with a null key are kept as one group per null key; a null `ts` loses against any time. Keys repeat a few
+    times at most, so the window never sees a large group. Only the columns of `df` are read: select those needed first.
     """
-    tie = [F.col(c).desc_nulls_last() for c in df.columns if c not in keys and c != ts and not isinstance_map(df, c)]
+    others = [f.name for f in df.schema if f.name not in keys and f.name != ts and f.dataType.typeName() != "map"]
+    tie = [F.xxhash64(*others).desc()] if others else []
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc_nulls_last(), *tie)
     return df.withColumn("_latest_rn", F.row_number().over(w)).filter("_latest_rn = 1").drop("_latest_rn")
 
 
-def isinstance_map(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "map"
-
-
 #: Bytes of (compressed) input a task gets before `spread` leaves the partitions as they are.
 BYTES_A_TASK = 32 << 20
 
@@ -44,8 +42,13 @@ def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     return df.repartition(factor * cores)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all runs in one process on one machine."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is set only where none is named."""
+    """The folder all executors share (spark.checkpoint.dir); a local one is set only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -53,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="velum-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -77,9 +82,26 @@ def publish(spark: SparkSession, data: bytes, suffix: str) -> str:
     return name
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete_written() -> None:
+    """Deletes what `saved` wrote, when the driver ends: results that read it are lazy until then."""
+    while _written:
+        spark, uri = _written.pop()
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001, S112 - the session is gone already
+            continue
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows of `df`, written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_written)
+    _written.append((spark, uri))
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
