@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import text as tx
-from velum.functions.lexicons import ALLOWED_SUFFIXES, ANSWER_SPURIOUS, ANSWER_STOPWORDS, CAPITALS_BLOCKED, CODE_PREFIX, FALLBACK_PREFIX, FORMATS, NAME_STOPWORDS
+from velum.functions.lexicons import (
+    ALLOWED_SUFFIXES,
+    ANSWER_SPURIOUS,
+    ANSWER_STOPWORDS,
+    CAPITALS_BLOCKED,
+    CERTIFICATE_NOISE,
+    CHUNK_BACK,
+    CHUNK_WORDS,
+    CODE_PREFIX,
+    DEFAULT_THRESHOLD,
+    FALLBACK_PREFIX,
+    FORMATS,
+    LABEL_TYPE,
+    MODEL_WORDS_MAX,
+    NAME_STOPWORDS,
+    NAME_TYPES,
+    PUBLIC_BODIES,
+    SCORE_THRESHOLD,
+)
 from velum.functions.patterns import BY_NAME, PATTERNS, Pattern
 from velum.operators import extract, pseudonyms, redact, resolve, review, spans
 from velum.plans import pipeline
@@ -18,14 +37,16 @@ from velum.sources.tables import latest, load, saved
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load(spark, sf_dir, "documents_in").select("doc_id", "path", "format", "text", "page_count", "case_ref", "batch_id", "loaded_at")
-    return latest(t, ["doc_id"], "loaded_at")
+def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The last delivery of each file, with the columns named (text where none is); no other column is read."""
+    t = load(spark, sf_dir, "documents_in").select("doc_id", *(columns or ("text",)), "loaded_at")
+    return latest(t, ["doc_id"], "loaded_at").drop("loaded_at")
 
 
-def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected entities, repeated rows once, the last delivery of each."""
-    return latest(load(spark, sf_dir, "entities_in"), ["entity_id"], "detected_at")
+def entity_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Detected entities, repeated rows once, the last delivery of each; with the columns named, or all."""
+    t = load(spark, sf_dir, "entities_in")
+    return latest(t.select("entity_id", *columns, "detected_at") if columns else t, ["entity_id"], "detected_at")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +173,33 @@ def redacted_safe(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_results(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the files by batch: done with their text, failed without."""
-    t = docs(spark, d).select("batch_id", "doc_id", F.when(F.coalesce(tx.trim_all(F.col("text")), F.lit("")) == "", F.lit("no text")).alias("error"))
-    n = seq_entities(spark, d).filter("confirmed").groupBy("doc_id").agg(F.countDistinct("pseudonym").alias("entities_replaced"))
-    return t.join(n, "doc_id", "left").groupBy("batch_id").agg(
-        F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("entities_replaced"))), F.lit(0)).alias("replaced")
-    )
+    t = docs(spark, d, "batch_id", "text")
+    n = entity_rows(spark, d, "doc_id", "confirmed", "pseudonym").filter("confirmed").groupBy("doc_id").agg(F.countDistinct("pseudonym").alias("entities_replaced"))
+    results = review.results(t, t.select("doc_id", "text").join(n, "doc_id", "left"))
+    return review.batch_totals(t.select("doc_id", "batch_id").join(results, "doc_id"), ("batch_id",))
+
+
+def filings(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): a filing for each detected person, in the wording of headers, policies, contracts, lawyers' lists and signatures."""
+    t = entity_rows(spark, d, "type", "original_text").filter("type = 'PERSONA' and original_text is not null")
+    return t.select(F.col("entity_id").alias("doc_id"), F.format_string(FILING.replace("{0}", "%1$s").replace("{1}", "%2$s"), F.col("original_text"), F.upper("original_text")).alias("text"))
+
+
+FILING = "Dott. {0} - Presidente -\nContraente: {0}\ntra {0}, nato a Roma,\navvocati {0}, Carla Neri Verdi\nFirmato Da: {1} Emesso Da: ARUBA\n"
+FILED = ("header", "policy", "contract", "lawyers", "signature")
+
+
+def llm_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of detected entities and of the language model's names, which bring their own replacements."""
+    found = entity_rows(spark, d, "doc_id", "type", "original_text").filter("type is not null").select("doc_id", F.col("entity_id").alias("seq"), "type", "original_text", F.lit(None).cast("string").alias("replacement"))
+    t = load(spark, d, "llm_names").filter(spans.valid_answer(F.col("original")) & F.col("replacement").isNotNull())
+    names = t.select("doc_id", F.col("name_id").alias("seq"), spans.answer_type(F.col("replacement")).alias("type"), F.col("original").alias("original_text"), "replacement")
+    return pseudonyms.assign(pseudonyms.arrivals(found.unionByName(names), "replacement"))
+
+
+def scanned_routes(spark: SparkSession, d: str) -> DataFrame:
+    out = pdf.routed(docs(spark, d, "format", "text", "page_count"), pdf.ocr_texts(pages(spark, d)))
+    return out.select("doc_id", "text", "page_count", "source", F.array_join("warnings", "; ").alias("warnings"))
 
 
 def spans_of_names(spark: SparkSession, d: str) -> DataFrame:
@@ -254,12 +297,12 @@ def queries() -> dict[str, Query]:
         "redact_text": redacted_texts,
         "redact_safe": redacted_safe,
         "redacted_pseudonyms": lambda s, d: entity_rows(s, d).filter("confirmed").groupBy("doc_id").agg(F.countDistinct("pseudonym").alias("pseudonyms")),
-        "detect_format": lambda s, d: docs(s, d).select("doc_id", files.detect_format(F.col("path")).alias("detected")),
-        "allowed_suffix": lambda s, d: docs(s, d).select("doc_id", files.allowed(F.col("path")).alias("allowed")),
-        "output_path": lambda s, d: docs(s, d).select("doc_id", redact.output_path().alias("output_path")),
+        "detect_format": lambda s, d: docs(s, d, "path").select("doc_id", files.detect_format(F.col("path")).alias("detected")),
+        "allowed_suffix": lambda s, d: docs(s, d, "path").select("doc_id", files.allowed(F.col("path")).alias("allowed")),
+        "output_path": lambda s, d: docs(s, d, "path").select("doc_id", redact.output_path().alias("output_path")),
         "txt_normalise": lambda s, d: docs(s, d).select("doc_id", tx.unified_breaks(F.col("text")).alias("text")),
         "page_count": lambda s, d: docs(s, d).filter("text is not null").select("doc_id", tx.page_count(F.col("text")).alias("pages")),
-        "strip_markdown": lambda s, d: docs(s, d).filter("format = 'markdown'").select("doc_id", files.strip_markdown(F.col("text")).alias("text")),
+        "strip_markdown": lambda s, d: docs(s, d, "format", "text").filter("format = 'markdown'").select("doc_id", files.strip_markdown(F.col("text")).alias("text")),
         "page_chunks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(spans.page_chunks(F.col("text"))).alias("chunk", "text")),
         "char_chunks": lambda s, d: docs(s, d).filter("text is not null").select("doc_id", F.posexplode(spans.char_chunks(F.col("text"), 1000)).alias("chunk", "text")),
         "word_chunks": lambda s, d: spans.word_chunks(docs(s, d)),
@@ -267,9 +310,12 @@ def queries() -> dict[str, Query]:
         "token_spans": token_spans,
         "llm_valid": llm_rows,
         "llm_parse": llm_parse,
-        "scanned_flag": lambda s, d: pdf.scanned(docs(s, d)).select("doc_id", "is_scanned"),
+        "scanned_flag": lambda s, d: pdf.scanned(docs(s, d, "text", "page_count")).select("doc_id", "is_scanned"),
         "spaced_letters": lambda s, d: load(s, d, "documents").select("doc_id", tx.fused_letters(F.regexp_replace("text", r"\b(\p{L})(\p{L})(\p{L})\b", "$1 $2 $3")).alias("text")),
-        "pdf_lines": lambda s, d: pdf.lines(_tokens(s, d)),
+        **{f"filing_{n}": (lambda s, d, n=n: extract.matches(filings(s, d), (BY_NAME[n],))) for n in FILED},
+        "llm_dictionary": llm_dictionary,
+        "scanned_routes": scanned_routes,
+        "pdf_lines": lambda s, d: pdf.lines(_tokens(s, d)).withColumn("avg_font_size", F.round("avg_font_size", 4)),
         "pdf_page_text": lambda s, d: pdf.page_texts(_tokens(s, d)),
         "pdf_document_text": lambda s, d: pdf.document_texts(pdf.page_texts(_tokens(s, d))),
         "ocr_document": lambda s, d: pdf.ocr_texts(pages(s, d)).withColumn("mean_confidence", F.round("mean_confidence", 6)),
@@ -278,6 +324,96 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _replaced(text: str, values: dict[str, str]) -> str:
+    for k, v in values.items():
+        text = text.replace("$" + k, v)
+    return text
+
+
+_OCC = COUNT.format(x="e.original_text")
+_ALONE = "len(regexp_extract_all(d.text, '(?i)\\b' || regexp_escape(e.original_text) || '\\b'))"
+_NOISE = """
+WITH $DOCS, $ENTS, n AS (
+  SELECT e.doc_id, e.entity_id AS seq, e.type, e.original_text AS o, lower(e.original_text) AS low, CAST(coalesce($OCC, 0) AS INTEGER) AS occ, coalesce($ALONE, 0) AS alone,
+         len(regexp_split_to_array($TRIM, '$WS+')) AS words
+  FROM ents e JOIN docs d ON e.doc_id = d.doc_id WHERE e.original_text <> ''
+), longer AS (
+  SELECT s.doc_id, s.seq, max(b.occ) AS most FROM n s JOIN n b ON s.doc_id = b.doc_id AND s.type IS NOT DISTINCT FROM b.type AND length(b.o) > length(s.o) AND contains(b.low, s.low) GROUP BY s.doc_id, s.seq
+), shorter AS (
+  SELECT DISTINCT b.doc_id, b.seq FROM n b JOIN n s ON s.doc_id = b.doc_id AND s.type IS NOT DISTINCT FROM b.type AND length(b.o) > length(s.o) AND contains(b.low, s.low) AND s.words >= 2 AND s.alone <= b.occ
+), flagged AS (
+  SELECT n.doc_id, n.seq, n.occ AS occurrences, n.occ = 0 AS absent, coalesce(n.type IN $TYPES AND n.words = 1 AND n.alone <= 2 * l.most, false) AS within_longer, coalesce(n.type IN $TYPES AND h.seq IS NOT NULL, false) AS holds_shorter
+  FROM n LEFT JOIN longer l ON n.doc_id = l.doc_id AND n.seq = l.seq LEFT JOIN shorter h ON n.doc_id = h.doc_id AND n.seq = h.seq
+)
+SELECT *, NOT absent AND NOT within_longer AND NOT holds_shorter AS kept FROM flagged
+"""
+_GREEDY = """
+WITH RECURSIVE $DOCS, $ENTS, n AS (
+  SELECT e.doc_id, list(struct_pack(seq := e.entity_id, toks := $TOKS, occ := coalesce($OCC, 0)) ORDER BY e.entity_id) AS ns
+  FROM ents e JOIN docs d ON e.doc_id = d.doc_id WHERE e.type IN ('PERSONA', 'ORGANIZZAZIONE') AND e.original_text <> '' GROUP BY e.doc_id
+), s AS (
+  SELECT doc_id, 1 AS i, 2 AS j, CAST([] AS BIGINT[]) AS gone, ns FROM n
+  UNION ALL
+  SELECT doc_id, CASE WHEN outer_gone OR j >= len(ns) THEN i + 1 ELSE i END, CASE WHEN outer_gone OR j >= len(ns) THEN i + 2 ELSE j + 1 END,
+    CASE WHEN outer_gone OR list_contains(gone, j) OR len(ns[i].toks) < 2 OR len(ns[j].toks) < 2 OR len(list_intersect(ns[i].toks, ns[j].toks)) < least(len(ns[i].toks), len(ns[j].toks)) THEN gone
+      WHEN len(ns[i].toks) < len(ns[j].toks) OR len(ns[i].toks) = len(ns[j].toks) AND ns[i].occ >= ns[j].occ THEN list_append(gone, CAST(j AS BIGINT)) ELSE list_append(gone, CAST(i AS BIGINT)) END, ns
+  FROM (SELECT *, j = i + 1 AND list_contains(gone, i) AS outer_gone FROM s WHERE i < len(ns))
+), ended AS (SELECT doc_id, ns, gone, unnest(range(1, len(ns) + 1)) AS k FROM s WHERE i >= len(ns))
+SELECT doc_id, ns[k].seq AS seq, list_contains(gone, k) AS dropped FROM ended
+"""
+_CHAR_CHUNKS = """
+WITH RECURSIVE $DOCS, c AS (
+  SELECT doc_id, 0 AS chunk, 0 AS pos, text, CASE WHEN length(text) <= $MOST THEN length(text) ELSE $CUT0 END AS cut FROM docs WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, chunk + 1, pos + cut, text, $CUT1 FROM c WHERE pos + cut < length(text)
+)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substr(text, pos + 1, cut) AS text FROM c
+"""
+
+
+def _cut_sql(at: str, most: int) -> str:
+    """The length of the chunk that begins at `at`: up to the last line break within reach, or full."""
+    window = f"substr(text, {at} + 1, {most} + 1)"
+    back = f"(length({window}) - instr(reverse({window}), chr(10)))"
+    return f"CASE WHEN {at} + {most} < length(text) AND instr({window}, chr(10)) > 0 AND {back} > 0 THEN {back} ELSE least({most}, length(text) - {at}) END"
+
+
+_WORD_CHUNKS = """
+WITH RECURSIVE $DOCS, w AS (SELECT doc_id, text, regexp_split_to_array(text, '$WS+') AS ws FROM docs WHERE text IS NOT NULL),
+c AS (
+  SELECT doc_id, -1 AS chunk, 0 AS a, 0 AS e, ws FROM w WHERE len(ws) > $TARGET
+  UNION ALL
+  SELECT doc_id, chunk + 1, e, CASE WHEN e + $TARGET >= len(ws) THEN len(ws)
+    ELSE coalesce(list_max(list_filter(range(greatest(e + $TARGET - $BACK, e) + 1, e + $TARGET + 1), lambda i: regexp_matches(ws[i], '[.?!]$'))), e + $TARGET) END, ws
+  FROM c WHERE e < len(ws)
+)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(ws[a + 1 : e], ' ') AS text FROM c WHERE chunk >= 0
+UNION ALL SELECT doc_id, 0, text FROM w WHERE len(ws) <= $TARGET
+"""
+_TOKEN_SPANS = """
+WITH RECURSIVE t AS (SELECT DISTINCT doc_id, chunk, name_id, list_filter(string_split(original, ' '), lambda w: w <> '') AS ws FROM llm_names WHERE original IS NOT NULL),
+s AS (
+  SELECT doc_id, chunk, name_id, 1 AS k, 0 AS part, ws[1] AS word, CAST(1.0 AS DOUBLE) AS score, ws FROM t WHERE len(ws) > 0
+  UNION ALL
+  SELECT doc_id, chunk, name_id, k + 1, CASE WHEN goes_on THEN part ELSE part + 1 END, CASE WHEN NOT goes_on THEN ws[k + 1] WHEN starts_with(ws[k + 1], '##') THEN word || substr(ws[k + 1], 3)
+    ELSE word || CASE WHEN suffix(word, chr(39)) OR starts_with(ws[k + 1], chr(39)) THEN '' ELSE ' ' END || ws[k + 1] END, CAST(1.0 AS DOUBLE) - CAST(k AS DOUBLE) / 10, ws
+  FROM (SELECT *, starts_with(ws[k + 1], '##') OR length(word) - length(replace(word, ' ', '')) + 1 < $MOST AS goes_on FROM s WHERE k < len(ws))
+), ended AS (SELECT doc_id, chunk, name_id, part, arg_max(word, k) AS word, min(score) AS score FROM s GROUP BY ALL)
+SELECT doc_id, chunk, CAST(row_number() OVER (PARTITION BY doc_id, chunk ORDER BY name_id, part) - 1 AS INTEGER) AS span, word, 'PER' AS label, score FROM ended
+"""
+_PDF_LINES = """
+WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, pos, str) AS k FROM
+  (SELECT DISTINCT doc_id, page, pos, str, x, y, font_size FROM pdf_tokens WHERE x IS NOT NULL AND y IS NOT NULL AND trim(str) <> '')),
+s AS (
+  SELECT doc_id, page, k, str, x, y, pos, font_size, [y] AS anchors, CAST(1 AS BIGINT) AS line FROM t WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.page, n.k, n.str, n.x, n.y, n.pos, n.font_size, CASE WHEN n.hit IS NULL THEN list_append(n.anchors, n.y) ELSE n.anchors END, coalesce(n.hit, len(n.anchors) + 1)
+  FROM (SELECT t.*, s.anchors, list_min(list_filter(range(1, len(s.anchors) + 1), lambda i: abs(s.anchors[i] - t.y) < $NEAR)) AS hit FROM s JOIN t ON s.doc_id = t.doc_id AND s.page = t.page AND t.k = s.k + 1) n
+)
+SELECT doc_id, page, CAST(line AS INTEGER) AS line_no, max(anchors[line]) AS y, round(avg(coalesce(font_size, 0)), 4) AS avg_font_size, string_agg(str, '' ORDER BY x, k) AS text FROM s GROUP BY doc_id, page, line
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     stop = sql_list(NAME_STOPWORDS)
     toks = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(original_text), '[.\\-–,;:()]', ' ', 'g'), {q(tx.WS + '+')}), lambda w: length(w) > 1 AND w NOT IN {stop}))"
@@ -300,6 +436,13 @@ def oracle_sql() -> dict[str, str]:
         "CASE WHEN es IS NULL THEN struct_pack(t := {text}, n := 0, o := '', p := '') ELSE list_reduce(es, lambda acc, x: struct_pack(t := regexp_replace(acc.t, {hit}, replace(x.p, chr(92), chr(92) || chr(92)), 'g'), "
         "n := acc.n + CASE WHEN regexp_matches(acc.t, {hit}) THEN 1 ELSE 0 END, o := '', p := ''), struct_pack(t := {text}, n := 0, o := '', p := '')) END"
     ).format(text=plain("d.text"), hit=hit)
+    ws = tx.WS.replace("'", "''")
+    words = {"DOCS": DOCS, "ENTS": ENTS, "OCC": _OCC, "ALONE": _ALONE, "TRIM": sql_trim("e.original_text"), "WS": ws, "TYPES": sql_list(NAME_TYPES), "CUT0": _cut_sql("0", 1000), "CUT1": _cut_sql("(pos + cut)", 1000)}
+    filed = "SELECT entity_id AS doc_id, " + " || ".join(q(x) if k % 2 == 0 else {"0": "original_text", "1": "upper(original_text)"}[x] for k, x in enumerate(re.split(r"\{(\d)\}", FILING))) + " AS text FROM ents WHERE type = 'PERSONA' AND original_text IS NOT NULL"
+    label = "CASE name_id % 4 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' WHEN 2 THEN 'LOC' ELSE 'MISC' END"
+    clean = f"regexp_replace({sql_trim('original')}, '^#+{ws}*', '')"
+    head = f"regexp_split_to_array(lower(clean), '{ws}+')[1]"
+    given = f"nullif({sql_trim('replacement')}, '')"
     generic = " UNION ALL ".join(f"({sql_matches(p, k, 'documents')})" for k, p in enumerate(p for p in PATTERNS if p.stage == 3))
     return {
         "match_email_docs": f"SELECT doc_id, stage, pattern, ord, raw, type FROM ({sql_matches(BY_NAME['email'], 0, 'documents')})",
@@ -336,6 +479,19 @@ def oracle_sql() -> dict[str, str]:
         "llm_parse": f"SELECT doc_id, chunk, original, replacement, {dotted} AS type FROM llm_names WHERE original IS NOT NULL AND replacement IS NOT NULL AND {valid}",
         "scanned_flag": f"WITH {DOCS} SELECT doc_id, length(coalesce(text, '')) / greatest(coalesce(page_count, 1), 1) < 80 AS is_scanned FROM docs",
         "ocr_document": f"WITH {PAGES} SELECT doc_id, array_to_string(list(coalesce(text, '') ORDER BY page, text), chr(10) || chr(10)) AS text, count(*) AS page_count, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (WHERE confidence < 60) AS low_pages FROM pages GROUP BY doc_id",
+        "standalone": f"WITH {DOCS}, {ENTS} SELECT e.entity_id, CAST({_ALONE} AS INTEGER) AS standalone FROM ents e JOIN docs d ON e.doc_id = d.doc_id WHERE e.original_text <> '' AND d.text IS NOT NULL",
+        "greedy_dedupe": _replaced(_GREEDY, words | {"TOKS": toks.replace("original_text", "e.original_text")}),
+        "noise_flags": _replaced(_NOISE, words),
+        "char_chunks": _replaced(_CHAR_CHUNKS, words | {"MOST": "1000"}),
+        "word_chunks": _replaced(_WORD_CHUNKS, words | {"TARGET": str(CHUNK_WORDS), "BACK": str(CHUNK_BACK)}),
+        "token_spans": _replaced(_TOKEN_SPANS, {"MOST": str(MODEL_WORDS_MAX)}),
+        "span_filter": f"SELECT name_id, type, clean FROM (SELECT name_id, {sql_case('label', LABEL_TYPE)} AS type, {clean} AS clean, score, {sql_case('label', {k: str(v) for k, v in SCORE_THRESHOLD.items()}, q(str(DEFAULT_THRESHOLD)))}::DOUBLE AS least FROM (SELECT *, {label} AS label, ((name_id * 37) % 100) / 100.0::DOUBLE AS score FROM llm_names WHERE original IS NOT NULL)) WHERE score >= least AND type IS NOT NULL AND length(clean) >= 3 AND NOT regexp_matches(clean, '^[. ]') AND {head} NOT IN {stop} AND lower(clean) NOT IN {sql_list(CERTIFICATE_NOISE)} AND NOT (type = 'ORGANIZZAZIONE' AND {head} IN {sql_list(PUBLIC_BODIES)})",
+        "pdf_lines": _replaced(_PDF_LINES, {"NEAR": str(pdf.LINE_NEAR)}),
+        **{f"filing_{n}": f"WITH {ENTS}, docs AS ({filed}) SELECT doc_id, stage, pattern, ord, raw, type FROM ({sql_matches(BY_NAME[n], 0)})" for n in FILED},
+        "llm_dictionary": SQL_DICTIONARY.replace(
+            "original_text IS NOT NULL),", f"original_text IS NOT NULL), given AS (SELECT doc_id, name_id AS seq, {dotted} AS type, original AS original_text, lower({sql_trim('original')}) AS key, {given} AS given FROM llm_names WHERE replacement IS NOT NULL AND {valid}), every AS (SELECT *, NULL AS given, 1 AS phase FROM keyed UNION ALL SELECT *, CASE WHEN given IS NULL THEN 1 ELSE 0 END FROM given),", 1
+        ).replace("ORDER BY doc_id, seq) AS k FROM keyed", "ORDER BY doc_id, phase, seq) AS k FROM every").replace("CASE WHEN type NOT IN", "CASE WHEN given IS NOT NULL THEN given WHEN type NOT IN").replace("ORDER BY doc_id, seq, key)", "ORDER BY doc_id, phase, seq, key)") + "SELECT key, type, base, pseudonym FROM dict",
+        "scanned_routes": f"WITH {DOCS}, {PAGES}, o AS (SELECT doc_id, array_to_string(list(coalesce(text, '') ORDER BY page, text), chr(10) || chr(10)) AS o_text, count(*) AS o_pages, count(*) FILTER (WHERE confidence < 60) AS low FROM pages GROUP BY doc_id), j AS (SELECT d.doc_id, d.format, d.text, d.page_count, length(coalesce(d.text, '')) / greatest(coalesce(d.page_count, 1), 1) AS per, coalesce(d.format = 'pdf', false) AND length(coalesce(d.text, '')) / greatest(coalesce(d.page_count, 1), 1) < 80 AS thin, o.*, coalesce({sql_trim('o_text')} <> '', false) AS has FROM docs d LEFT JOIN o ON d.doc_id = o.doc_id), u AS (SELECT *, (thin OR coalesce(format = 'image', false)) AND has AS used FROM j) SELECT doc_id, CASE WHEN used THEN o_text ELSE text END AS text, CASE WHEN used THEN CAST(o_pages AS INTEGER) ELSE page_count END AS page_count, CASE WHEN used THEN 'ocr' ELSE 'digital' END AS source, concat_ws('; ', CASE WHEN thin THEN 'scanned: ' || CAST(round(per) AS INTEGER) || ' characters a page' END, CASE WHEN used AND low > 0 THEN 'low confidence: ' || low || ' pages' END, CASE WHEN (thin OR format = 'image') AND NOT used THEN 'no readings of its pages' END) AS warnings FROM u",
         "bbox_flip": "SELECT doc_id, page, round(x, 4) AS x, round(842 - (y + height), 4) AS y, round((x + width) - x, 4) AS width, round((y + height) - y, 4) AS height, round(least(greatest(((y + height) - y) * 0.75, 5.0), 10.0), 4) AS font_size, CAST(token_id AS VARCHAR) AS pseudonym FROM (SELECT DISTINCT * FROM pdf_tokens) WHERE x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL",
         "pii_report": f"WITH m AS ({generic}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(raw) ORDER BY stage, place, ord) AS k FROM m) WHERE k = 1), c AS (SELECT f.type, d.lang, d.source, f.doc_id, {COUNT.format(x='f.raw')} AS n FROM f JOIN documents d ON f.doc_id = d.doc_id) SELECT type, lang, source, count(*) AS entities, count(DISTINCT doc_id) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM c WHERE n > 0 GROUP BY type, lang, source",
     }
