@@ -374,7 +374,7 @@ SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substr(text, pos + 1, cut) AS te
 def _cut_sql(at: str, most: int) -> str:
     """The length of the chunk that begins at `at`: up to the last line break within reach, or full."""
     window = f"substr(text, {at} + 1, {most} + 1)"
-    back = f"(length({window}) - instr(reverse({window}), chr(10)))"
+    back = f"(length({window}) - length(regexp_extract({window}, '[^\\n]*$')) - 1)"
     return f"CASE WHEN {at} + {most} < length(text) AND instr({window}, chr(10)) > 0 AND {back} > 0 THEN {back} ELSE least({most}, length(text) - {at}) END"
 
 
