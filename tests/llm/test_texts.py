@@ -108,20 +108,21 @@ def test_viterbi_against_all_paths():
         assert tuple(found.tolist()) == max(paths, key=score)
 
 
-def test_tagger_on_held_out_texts():
-    # texts of another seed than any training batch had
+def test_tagger_on_held_out_wording():
+    # whole templates that no training text was made from, filled with data of another seed
     maker = pii_train.Maker(987_654_321)
+    assert not set(pii_train.HELD_OUT.splitlines()) & set((pii_train.TEMPLATES + pii_train.NEGATIVES).splitlines()) - {""}
     hits = wrong = missed = 0
     texts, gold = [], []
-    for _ in range(250):
-        t, labels = maker.sentence(maker.r.choice(pii_train.TEMPLATES.strip().splitlines()))
+    for _ in range(300):
+        t, labels = maker.sentence(maker.r.choice(pii_train.HELD_OUT.strip().splitlines()))
         texts.append(t)
         gold.append({(s, e, tagger.KINDS[k]) for s, e, k in tagger.spans(np.array(labels))})
     for found, want in zip(pii.tag_texts(texts), gold, strict=True):
         hits += len(set(found) & want)
         wrong += len(set(found) - want)
         missed += len(want - set(found))
-    assert hits / (hits + wrong) > 0.93 and hits / (hits + missed) > 0.93
+    assert hits / (hits + wrong) > 0.9 and hits / (hits + missed) > 0.9
 
 
 def test_personal_data(spark):
@@ -414,10 +415,17 @@ def test_short_pages_of_links(spark):
 # --- all queries
 
 
+#: Least rows of each query over the small tables: what their cases bring at least.
+LEAST = {
+    "p1_found": 1000, "p2_found": 5, "p2_canonical": 100, "p3_found": 300, "p3_redacted": 100, "p4_found": 1, "p4_pieces": 2, "p5_found": 20, "p5_text": 5, "p6_found": 20, "p6_clean": 3,
+    "p7_found": 20, "p7_classes": 20, "p8_ids": 100, "p9_found": 1, "p10_found": 1, "p10_measures": 90,
+}
+
+
 def test_queries_run(spark, sf):
     from velum.llm.queries import oracle_sql, queries
 
+    assert set(oracle_sql()) <= set(queries()) == set(LEAST)
     for name, query in queries().items():
         df = query(spark, sf)
-        assert df.columns and df.count() >= 0, name
-    assert set(oracle_sql()) <= set(queries())
+        assert len(set(df.columns)) == len(df.columns) and df.count() >= LEAST[name], name

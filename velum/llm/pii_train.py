@@ -1,11 +1,14 @@
-"""Labelled texts for the tagger, made from templates and invented data, and its training (python -m velum.llm.pii_train OUT)."""
+"""Labelled texts for the tagger, made from templates and invented data, and its training.
+
+python -m velum.llm.pii_train OUT STEPS [SEED [RATE [WEIGHTS [SHARE]]]]: trains on from WEIGHTS, if given, and takes SHARE of the
+new weights and the rest of the old ones.
+"""
 
 from __future__ import annotations
 
 import random
 import re
 import sys
-import time
 
 import numpy as np
 
@@ -24,139 +27,167 @@ TOWNS_A = "Monte Borgo Castel Villa Rocca Val Campo Ponte Porto Serra Sant San C
 COMPANY = "Tipografia Edilizia Molini Cantine Vivai Cartiera Trasporti Officine Ceramiche Impianti Serramenti Logistica Consorzio Forniture Tessitura Fornaci Immobiliare Autolinee Frigoriferi Carpenteria Banca Studio".split()
 FORMS = ["S.p.A.", "S.r.l.", "S.n.c.", "S.a.s.", "Srl", "spa"]
 STREETS = ["via", "Via", "VIA", "viale", "Viale", "V.le", "corso", "C.so", "Corso", "piazza", "Piazza", "P.zza", "largo", "vicolo", "strada", "contrada", "loc.", "Largo"]
-STREET_NAMES = ["dei Glicini", "Roma", "degli Olmi", "della Ferrovia Bassa", "Santa Lucia", "San Teodulo", "XII Febbraio", "Quattro Venti", "del Mulino Rosso", "dell'Arsenale", "delle Fornaci", "Pian del Lupo", "Garibaldi", "Monte Nero", "Orto Grande", "del Pozzo Vecchio", "Porta Nuova", "IV Novembre", "dell'Acqua Chiara", "dei Carpini", "della Pescaia"]
+STREET_NAMES = ["dei Tigli", "Roma", "degli Aceri", "della Stazione Vecchia", "Santa Chiara", "San Rocco", "XX Settembre", "Quattro Fontane", "del Mulino", "dell'Olmo", "delle Rose", "Pian dei Cavalli", "Garibaldi", "Monte Bianco", "Prato Lungo", "del Ponte Alto", "Porta Vecchia", "XXV Aprile", "dell'Acquedotto", "dei Mille", "della Vigna", "Alcide De Gasperi", "Vittorio Veneto", "Torre dei Venti", "IV Novembre", "del Pozzo", "delle Fornaci"]
 MONTHS = "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split()
 DOMAINS = ["test", "example", "invalid", "it", "com", "EXAMPLE"]
 FOREIGN_PEOPLE = ["Νίκος Παππάς", "Ελένη Βαλμοράς", "Ζερβάκης", "Πέτρος Τρεβασίδης", "Μαρία Κορμαλίδου", "Καλοσίδης", "Γιώργος Μαρίνος", "Ελένη Σταμάτη", "Ζερβονάκης", "Βαλμοράς", "Иван Петров", "Анна Сидорова", "बेलवाणी", "वर्मोरा", "तलमोनी", "ज़ोरबाली", "रमेश कुमार", "शर्मा", "محمد علي"]
 
 #: {P} person, {S} family name alone, {E} mail, {T} phone, {C} fiscal code, {V} VAT number, {I} IBAN, {D} document, {A} address: labelled; {lower} filler: not.
 TEMPLATES = """
-Il sig. {P}, codice fiscale {C}, ha chiesto {thing} nei confronti di {org}.
-{P}, C.F. {C}, e {P}, cod. fisc. {C}, sono coeredi.
-{P}, c.f.: {C}, e {P}, codice fiscale {C}, sono coeredi.
-La società {org}, P.IVA {V}, con sede in {A}, contesta {thing}.
-La società {org}, partita IVA n. {V}, con sede in {A}, contesta {thing}.
-La società {org}, P. IVA: {V}, con sede in {A}, ha pagato.
-Si offre in comunicazione la fattura di {org} (p.iva {V}), da saldare su {I}.
-Il pagamento di € {money} va eseguito sul conto {I} intestato a {P}.
-Il codice {C} risulta intestato a {P}, già amministratore di {org}.
-La raccomandata è tornata da {A} con la dicitura "trasferito".
-La sig.ra {P} risiede in {A} e chiede {thing}.
-Per conto di {P} si può telefonare al {T} oppure scrivere a {E} entro il {date}.
-Scrivere a {E} o, in copia, a {E}; il numero {T} non è più attivo.
-Le comunicazioni vanno inviate a {E}.
-Contatti dello studio: {T}, {E}, {A}.
-Cognome e nome: {P}; recapito: {T}.
-Al fascicolo è allegata la copia della carta d'identità n. {D}, rilasciata a {P} il {date}.
-Al fascicolo è allegata la copia del passaporto n. {D}, rilasciata a {P} il {date}.
-Al fascicolo è allegata la copia della patente n. {D}, rilasciata a {P} il {date}.
-Il dott. {P} (tel. {T}) conferma che {thing} è fondata.
-Secondo la dott.ssa {P}, consulente di parte, la tesi appare generica.
-Il teste {P} ha dichiarato: «Era tardi. Pioveva.»
-Nota di {P} al custode: «Il cancello era aperto!»
-Ha risposto {P}: "La somma è stata versata."
-L'avv. {P} ha depositato {thing} il {date} presso il Tribunale di {town}.
-Gli avv.ti {P} e {P}, con studio in {A}, chiedono {thing}.
-{P}, nato a {town} il {date}, è difeso dall'avv. {P} del foro di {town}.
-Il c.t.u. ing. {P} ha stimato {thing} in {money} euro, ecc. ecc., secondo buona fede.
-{P} e {P} hanno sottoscritto {thing} dinanzi al notaio.
-In data {date} {P} ha ceduto a {P} {thing} per € {money}.
-Si dà atto che {S}, malgrado l'avviso del {date}, ha occupato {thing}.
-Il sig. {S} non è comparso all'udienza del {date}.
-buongiorno, sono {low} e vorrei notizie circa {thing}, grazie.
-salve, sono {low} e chiedo notizie circa {thing}.
-Il plico è qui.  buongiorno, sono {low} e vorrei notizie circa {thing}, grazie.
-L'arch. {P} e il geom. {P} hanno visto {thing}.
-Mr. {P} filed claim no. {num} on {date} before the court.
-Mrs. {P} lives at {A} and may be called on {T}.
-Dr. {P} of Alder Ltd. did not reply.
-Why did Ms. {P} wait until {date}?
-The valuer, Prof. {P}, found damp in all {num} rooms.
-Notice was sent on {date} to {E}.
-The parties met at the office of Alder & Finch Inc.
-Der Kläger, Herr Dr. {P}, verlangt gem. § 4 Abs. 2 den Kaufpreis.
-Frau {P} hat den Vertrag ca. 24 Tage später gekündigt.
-Frau {P} wohnt in {A}.
-Der Sachverständige Prof. Dr. {P} hat das Haus besichtigt.
-Warum hat Frau {P} geschwiegen?
-Bitte antworten Sie an {E} oder telefonisch unter {T}.
-M. {P} a saisi le tribunal le {date}.
-Mme {P} demeure {A}.
-Mme {P} habite au 3e étage, etc., sans titre.
-Me {P} soutient que l'art. 6 n'est pas applicable !
-L'expert, le Pr {P}, a visité les lieux le {date}.
-Prière d'écrire à {E} ou d'appeler le {T}.
-El Sr. {P} presentó el recurso núm. {num} ante el juzgado.
-La Sra. {P} pagó {money} euros en efectivo.
-La Sra. {P} vive en {A}.
-¿Por qué calló la Dra. {P} hasta el {date}?
-El perito, D. {P}, midió la finca el día {num}.
-Escriba a {E} o llame al {T}.
-Ο μάρτυρας, κ. {F}, δεν εμφανίστηκε.
-Свидетель {F} не явился.
-डॉ. {F} ने दस्तावेज़ सं. {num} प्रस्तुत किया।
+Con ricorso depositato il {date}, {P} (C.F. {C}), residente in {A}, conveniva in giudizio {org}.
+{P}, c.f. {C}, elettivamente domiciliato in {A}, presso lo studio dell'avv. {P}.
+Tra {P}, codice fiscale {C}, e {org}, partita IVA {V}, si conviene quanto segue.
+Tra {P}, cod. fisc.: {C}, e {P}, C.F.: {C}, si stipula il presente contratto.
+La ditta {org}, P.IVA {V}, corrente in {A}, emetteva fattura per {money} euro.
+{org} (p.iva: {V}) dovrà accreditare {money} euro sulle coordinate {I} entro il {date}.
+Bonifico a favore di {P}, IBAN {I}, causale: {thing}.
+Il conto n. {I} appartiene a {P}, come da estratto del {date}.
+Agli atti figura il codice fiscale {C}, riferibile a {P}.
+Il plico spedito a {A} è stato restituito al mittente.
+La notifica all'indirizzo {A} non si è perfezionata.
+Il testimone {P}, domiciliato in {A}, ha confermato i fatti.
+L'immobile sito in {A} è occupato da {P} dal {date}.
+Recapiti: cell. {T}, e-mail {E}.
+Per informazioni chiamare il {T} o inviare una mail a {E}.
+Tel. {T} - PEC: {E}
+La cancelleria può rispondere a {E} oppure al numero {T}, dalle ore 9.
+Spedire l'originale a {E} e una copia a {E}.
+Nome: {P}, telefono: {T}, posta elettronica: {E}
+Identificata mediante carta d'identità {D} la signora {P}.
+Si produce il passaporto {D} intestato a {P}, con scadenza {date}.
+{P} esibiva la patente di guida numero {D} rilasciata il {date}.
+Documento d'identità: {D}. Intestatario: {P}.
+La dott.ssa {P}, nominata consulente il {date}, ha accettato l'incarico.
+Il prof. {P} e l'ing. {P} concordano su {thing}.
+L'avvocato {P}, difensore di {P}, si riporta alla memoria.
+Per l'appellante è comparso l'avv. {P}; per l'appellata nessuno.
+Compare altresì il sig. {P}, il quale dichiara di non sapere nulla.
+Secondo quanto riferito da {P}, la merce arrivò il {date}.
+Il notaio dott. {P} ha rogato l'atto in {town}.
+Interrogata, {P} rispondeva: «Non lo conosco.»
+Ha firmato il geom. {P}, incaricato da {org}.
+La signora {P} e il marito {P} chiedono la separazione.
+Eredi: {P}, {P} e {P}, ciascuno per un terzo.
+{P} ha venduto a {P} un terreno in {town} al prezzo di € {money}.
+Il giudice {P} ha rigettato l'istanza di {S}.
+Nei confronti di {S} è stato emesso decreto il {date}.
+Il signor {S} non ha aderito alla mediazione.
+Contro {S} si procede separatamente, mentre {S} è stato ammesso al beneficio.
+mi chiamo {low} e scrivo per avere {thing}
+gentile ufficio, sono {low}, potete chiamarmi al {T}?
+cordiali saluti, {low}
+Distinti saluti, {P}
+In fede, {P}
+Il curatore {P}, tel. {T}, fissa la vendita per il {date}.
+The claimant, Mr. {P}, of {A}, seeks damages of {money} euros.
+According to Ms. {P}, the contract ended on {date}.
+Counsel for the defendant, {P}, may be reached at {E} or {T}.
+Prof. {P} gave evidence before Judge {P}.
+Mrs. {P} and Dr. {P} signed the deed in {town}.
+Der Beklagte, Herr {P}, wohnhaft {A}, erschien nicht.
+Frau Dr. {P} wurde am {date} als Zeugin gehört.
+Rückfragen an {E} oder Tel. {T}.
+Rechtsanwalt {P} vertritt die Klägerin {P}.
+Madame {P}, demeurant {A}, a fait appel.
+Maître {P} représente M. {P} devant la cour.
+Contact : {E}, tél. {T}.
+Le témoin {P} n'a pas été entendu.
+La señora {P}, con domicilio en {A}, reclama {money} euros.
+El abogado D. {P} contestó la demanda el {date}.
+Contacto: {E}, teléfono {T}.
+Doña {P} compareció ante el notario.
+Η κ. {F} κατέθεσε την αγωγή.
+Ο δικηγόρος {F} ζήτησε αναβολή.
+Истец {F} подал заявление.
+Судья {F} отказал в иске.
+श्री {F} ने अपील दायर की।
+गवाह {F} उपस्थित नहीं हुआ।
 """
 NEGATIVES = """
-Il ruolo n. {num}/{num} e il rep. {num}-{num} non coincidono.
-I beni di largo consumo restano esclusi, v. tab. {num}.{num}.
-La nota cita il profilo @fascicoli e un listino di {num} pezzi @ {money} euro.
-Fu vera mora, o soltanto ritardo?
-A fronte di ciò la controversia riguarda anche la società {org}.
-Cfr. Cass. civ., sez. II, n. {num}/2003, in tema di mediazione.
-Il protocollo n. {long} non reca alcuna firma leggibile.
-Il protocollo n. {long}/{num} non reca alcuna firma leggibile.
-La pratica {file} è stata archiviata per difetto di prova.
-Si richiama l'art. {num}, co. 3, del d.lgs. n. {num}/2001.
-Le parti, assistite dai rispettivi difensori, rinunciano a chiedere {thing}.
-Il tasso applicato è del {money} per cento, contro il {money} pattuito.
-Il valore di causa è pari a € {money}, oltre i.v.a. e c.p.a. come per legge.
-Le spese seguono la soccombenza e si liquidano in € {money}.
-La causa, iscritta al n. {num}/2004 R.G., è stata rinviata al {date}.
-Il Tribunale di {town} dispone {thing} e fissa udienza al {date} alle ore 9.30.
-Il Giudice di Pace di {town}, con sentenza n. {num}/2011, ha ritenuto nulla la clausola.
-Si provvede in via breve e, in corso di causa, si valuterà {thing}.
-La convenuta insiste in via subordinata per {thing}, in ragione della mala fede.
-È pacifico che {thing} sia stato consegnato il {date}; l'opponente non lo nega.
-Perché, dunque, il ricorrente avrebbe taciuto fino al {date}?
-Alla domanda «È proprio così?» il terzo chiamato non ha risposto.
-Ai sensi dell'art. 1453 bis c.c., il curatore può ottenere {thing}.
-Il perito ha osservato che {thing} misura {money} m. per {money} m. circa.
-Va dunque esclusa {thing}, per sopravvenuta impossibilità.
-Chiara appare la norma: vale {thing}, nonostante la diffida.
-Resta ferma {thing} sulla base della perizia!
-Sul punto si veda il doc. {num}, pag. {num}, che la comproprietaria ha prodotto.
-Con atto notificato in via telematica, l'ente gestore ha domandato {thing}.
-«Non ricordo la data. Forse era sera.», si legge nel verbale del {date}.
-Per mediazione vale il termine di gg. {num} dalla comunicazione.
-Il conduttore ha versato {money} euro per {thing} e ha chiesto {thing}.
-La richiesta, però, non è fondata...
-L'istanza è condivisibile?
-Oggetto: richiesta di chiarimenti
-SVOLGIMENTO DEL PROCESSO
-COMPARSA DI RISPOSTA
-Motivi della decisione
-ATTO DI CITAZIONE
-IN FATTO
-Allegato A
-Art. 3 - Obblighi delle parti
-{num}. Termini di pagamento
-The rent was set at {money} euros per month, i.e. less than agreed.
-The defence relies on art. {num} of the by-laws, not on fig. {num}.
-Die Berufung wurde am {num}. Juni 2004 zurückgewiesen.
-Die Miete i. H. v. {money} Euro ist bis zum 3. Werktag fällig.
-Vgl. Bd. 3, S. {num} des Gutachtens.
-Le loyer s'élève à {money} euros, charges comprises.
-La demanda carece de fundamento según el informe.
-Согласно ст. {num} договора, срок истёк.
-Ответчик проживает в г. Вальмора с {num} г. и не возражает.
-Το ποσό ανέρχεται σε {money} ευρώ.
-被告は{num}万円を支払ったのか？
-法院驳回全部请求！
-رفضت المحكمة الطلب!
-ศาลยกคำร้องทั้งหมด
-न्यायालय ने याचिका खारिज कर दी।
+Il fascicolo n. {num}/{num} R.G. è riunito al n. {num}/{num}.
+Rep. {num}/{num}, cron. {num}, registrato al n. {long}.
+Visto l'art. {num} del codice civile e l'art. {num} c.p.c.
+Il prodotto di largo impiego è esente, tab. {num}.
+Seguite @tribunale: offerta di {num} copie @ {money} euro.
+Corte di Cassazione, sezione II, sentenza n. {num} del {date}.
+Il contratto n. {long} è privo di data certa.
+Istanza prot. {long}/{num}, respinta.
+Codice pratica {file}, cassetto {num}.
+Il file {file} contiene le fotografie.
+La società {org} ha contestato {thing}.
+I soci di {org} e di {org} hanno approvato il bilancio.
+Fallimento {org}, reg. fall. n. {num}/2012.
+Il Tribunale di {town} ha dichiarato l'incompetenza.
+La Corte d'Appello di {town} conferma la sentenza impugnata.
+Il Comune di {town} ha rilasciato il permesso il {date}.
+L'Ufficio del Registro di {town} non ha risposto.
+L'udienza si terrà a {town} il {date} alle ore 10.15.
+La somma di € {money}, oltre interessi dal {date}, non è dovuta.
+Le spese di lite ammontano a {money} euro, oltre accessori.
+Il tasso del {money} % supera la soglia.
+La strada è larga {money} m e la piazza ne misura {num}.
+In via principale, rigettare la domanda; in via istruttoria, ammettere le prove.
+Per tale via si giunge a conclusioni diverse.
+Nel corso del {num} i lavori furono sospesi.
+È forse maturata la prescrizione?
+Si rinvia al doc. {num} e all'allegato {num}, pag. {num}.
+Vedi fig. {num}, par. {num}.{num}, nota {num}.
+MOTIVI DELLA DECISIONE
+RICORSO PER DECRETO INGIUNTIVO
+P.Q.M.
+CONCLUSIONI
+Art. {num} - Durata del contratto
+{num}) Consegna dei beni
+Elenco degli allegati
+Il ricorrente, la resistente e i terzi chiamati sono comparsi.
+«Non c'era nessuno. Era buio.», riferisce un passante.
+La perizia descrive {thing} in {num} pagine.
+Il bene è stato stimato {money} euro al mq.
+Nulla osta a {thing}.
+The court of {town} dismissed the appeal.
+Section {num} of the act applies from {date}.
+{org} paid {money} euros in {num} instalments.
+Das Gericht hat die Klage am {date} abgewiesen.
+Nach § {num} BGB ist der Vertrag nichtig.
+La cour d'appel de {town} confirme le jugement.
+Le contrat n° {num} prend fin le {date}.
+El juzgado de {town} estimó la demanda.
+El contrato núm. {num} vence el {date}.
+Суд отказал в удовлетворении иска.
+Договор № {num} расторгнут.
+Το δικαστήριο απέρριψε την έφεση.
+法院认为合同第{num}条无效。
+裁判所は訴えを棄却した。
+أيدت المحكمة الحكم رقم {num}.
+ศาลพิพากษายืนตามคำสั่งเดิม
+अदालत ने आदेश सं. {num} रद्द किया।
 {blob}
 """
+#: Wording that no training text has: whole templates held out, for the accuracy on unseen wording.
+HELD_OUT = """
+Il debitore {P}, nato a {town}, deve restituire {money} euro a {org}.
+Si diffida {P}, con domicilio in {A}, dal proseguire i lavori.
+Il pagamento potrà avvenire tramite bonifico ({I}), previo avviso a {E}.
+Dichiaro di aver consegnato le chiavi a {P} il {date}.
+Alla c.a. del dott. {P}, {E}
+Partita IVA dell'impresa: {V}; sede legale: {A}.
+Chi avesse notizie telefoni al {T}.
+Il codice fiscale corretto è {C}, non quello indicato in ricorso.
+È stata esibita la carta d'identità n. {D}.
+L'amministratore {P} convoca l'assemblea del condominio di {A}.
+Difende in proprio l'avv. {P} del foro di {town}.
+La vicina, sig.ra {P}, udì un rumore alle ore 23.
+Il {date} {P} e {P} cambiarono residenza.
+Quale erede, {P} rinuncia a {thing}.
+Mr. {P} did not answer the letter of {date}.
+Zeuge {P} konnte sich an {thing} nicht erinnern.
+Monsieur {P} habite {A}.
+El testigo {P} llamó al {T}.
+Il Giudice di Pace di {town} ha annullato il verbale n. {long}.
+Rimborsare a {org} la somma di € {money} entro {num} giorni.
+La sentenza n. {num}/{num} è passata in giudicato.
+Il protocollo {file} riguarda {thing}.
+"""
 THINGS = """il canone arretrato|la caldaia condominiale|l'eredità giacente|il muro di confine|la nomina di un curatore|la risoluzione del contratto|il pagamento del saldo|la partita di cereali|il terrazzo comune|la polizza fideiussoria|il fondo agricolo|la servitù di passaggio|lo scioglimento della comunione|l'annullamento della delibera|il brevetto depositato|il conto corrente cointestato|la dichiarazione di successione|l'autocarro aziendale|la fornitura di mattoni|il verbale di assemblea|la cassetta di sicurezza|l'affidamento condiviso|la domanda|la nave da diporto|il bestiame da latte|l'impianto di irrigazione""".split("|")
 MARK = {"P": 0, "Q": 0, "S": 0, "F": 0, "low": 0, "E": 1, "T": 2, "C": 3, "V": 4, "I": 5, "D": 6, "A": 7}
 _SLOT = re.compile(r"\{(\w+)\}")
@@ -436,20 +467,18 @@ def _work(args: tuple[dict[str, np.ndarray], int, int]) -> tuple[float, dict[str
     return tagger.gradient(p, *batch(seed, size))
 
 
-def train(steps: int, seconds: float, size: int = 48, workers: int = 8, rate: float = 0.006, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    """Adam over batches that `workers` processes make and differentiate; ends after `steps` or `seconds`."""
+def train(steps: int, size: int = 48, workers: int = 8, rate: float = 0.006, seed: int = 1, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Adam for `steps` over batches that `workers` processes make and differentiate; the same arguments give the same weights."""
     from multiprocessing import Pool
 
     p = start or tagger.fresh()
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
-    began = time.time()
     with Pool(workers) as pool:
         for step in range(1, steps + 1):
-            done = pool.map(_work, [(p, 1_000_003 * step + w, size) for w in range(workers)], 1)
+            done = pool.map(_work, [(p, 1_000_003 * step + 7919 * seed + w, size) for w in range(workers)], 1)
             loss = sum(d[0] for d in done) / workers
-            part = min(1.0, max(step / steps, (time.time() - began) / seconds))
-            lr = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * part))) * min(1, step / 20)
+            lr = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * step / steps))) * min(1, step / 20)
             grads = {k: sum(d[1][k] for d in done) / workers for k in p}
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k, g in grads.items():
@@ -458,15 +487,17 @@ def train(steps: int, seconds: float, size: int = 48, workers: int = 8, rate: fl
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 p[k] = p[k] - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
             if step % 50 == 0:
-                print(step, round(loss, 5), round(time.time() - began), flush=True)
-            if time.time() - began > seconds:
-                break
+                print(step, round(loss, 5), flush=True)
     return p
 
 
 if __name__ == "__main__":
-    out, seconds = sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 300.0
-    before = tagger.read(open(sys.argv[3], "rb").read()) if len(sys.argv) > 3 else None
-    trained = train(100_000, seconds, start=before)
+    out, steps = sys.argv[1], int(sys.argv[2])
+    seed, rate = int(sys.argv[3]) if len(sys.argv) > 3 else 1, float(sys.argv[4]) if len(sys.argv) > 4 else 0.006
+    before = tagger.read(open(sys.argv[5], "rb").read()) if len(sys.argv) > 5 else None
+    share = float(sys.argv[6]) if len(sys.argv) > 6 else 1.0
+    trained = train(steps, rate=rate, seed=seed, start=before)
+    if before is not None:
+        trained = {k: (1 - share) * before[k] + share * v for k, v in trained.items()}
     with open(out, "wb") as f:
         f.write(tagger.dump(trained))
