@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.sources.tables import latest, load, publish, spread
+from velum.sources.tables import latest, load, publish, saved, shared_dir, spread
 
 #: A line's shape is a running line's if it stands at page edges so often, and so seldom elsewhere.
 EDGE_COUNT, EDGE_SHARE = 4, 0.95
@@ -405,8 +405,6 @@ def _write(rows: DataFrame, folder: str, name: str) -> list[str]:
 
 def publish_model(table: DataFrame) -> str:
     """Writes the language model of counts into one file and hands it to every executor; nothing is held in memory."""
-    from velum.sources.tables import saved
-
     table = saved(table, "p5-counts")
     words = (
         table.filter("kind in ('word', 'scan')").groupBy("a").agg(F.sum(F.when(F.col("kind") == "word", F.col("n")).otherwise(F.col("n") * SCAN_WEIGHT)).alias("w"))
@@ -422,7 +420,9 @@ def publish_model(table: DataFrame) -> str:
     counted = words.unionByName(pairs).unionByName(hyphened).unionByName(known)
     # unsigned order of the hash, as _key
     counted = counted.select(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("key"), "value")
-    folder = tempfile.mkdtemp(prefix="velum-scans-")
+    # the driver puts the file together beside the other shared files, where that folder is one of its own file system
+    shared = shared_dir(table.sparkSession).removeprefix("file://").removeprefix("file:")
+    folder = tempfile.mkdtemp(prefix="velum-scans-", dir=shared if os.path.isdir(shared) else None)
     try:
         parts = _write(counted, folder, "counts")[:2] + _write(shapes.mapInArrow(_segmented, "key long, value string"), folder, "shapes")
         path = os.path.join(folder, "model")
