@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velum.llm.lookalikes import canonical
@@ -348,10 +348,9 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if centers is None:
         return nodes.select("case_ref", "node", F.col("node").alias("center"), F.lit(0).cast("long").alias("n_links"))
     around = links.join(centers.withColumnRenamed("node", "other"), ["case_ref", "other"]).join(centers, ["case_ref", "node"], "left_anti")
-    best = around.groupBy("case_ref", "node").agg(
-        F.max_by("other", F.struct("score", "theirs")).alias("center"), F.max("score").alias("top"), F.collect_list(F.struct("score", "other")).alias("all")
-    )
-    best = best.withColumn("ties", F.expr("size(filter(all, x -> x.score >= top - 0.02))")).withColumn("center", F.expr("IF(ties > 1, node, center)"))
+    top = F.max("score").over(Window.partitionBy("case_ref", "node"))
+    best = around.withColumn("top", top).groupBy("case_ref", "node").agg(F.max_by("other", F.struct("score", "theirs")).alias("center"), F.count_if(F.col("score") >= F.col("top") - 0.02).alias("ties"))
+    best = best.withColumn("center", F.expr("IF(ties > 1, node, center)"))
     return (
         nodes.join(best.select("case_ref", "node", "center"), ["case_ref", "node"], "left")
         .join(degree, ["case_ref", "node"], "left")
