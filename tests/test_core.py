@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from velum.functions import text as tx
 from velum.functions.patterns import BY_NAME, PATTERNS
 from velum.operators import extract, pseudonyms, redact, resolve, review, spans
 from velum.operators.numbering import numbered
-from velum.plans import pipeline
+from velum.plans import catalogue, pipeline
 from velum.plans.pipeline import Settings, analyze
 from velum.sources import files, pdf
 
@@ -240,6 +241,19 @@ def test_token_spans(spark):
     assert {(r.clean, r.type) for r in spans.filter_spans(got).collect()} == {("Mario D'Alba", "PERSONA"), ("Ente", "ORGANIZZAZIONE")}
 
 
+def test_token_spans_of_any_keys(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(104))
+    ids = [(21_474_837, "D' Alba Mario"), (30_000_000, "Anna  Neri"), (10**17, long), (10**17 + 1, "Carlo ##tta Verdi"), (5, "Ugo"), (2**63 - 1, "Ada Bo"), (None, "Eva Sala")]
+    rows = [(n, d, 0, 0, o, None) for d in (1, 2**40) for n, o in ids]
+    t = spark.createDataFrame([*rows, rows[0], (7, 3, 1, 0, None, None)], "name_id long, doc_id long, chunk int, idx int, original string, replacement string")
+    t.write.parquet(str(tmp_path / "llm_names.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW llm_names AS FROM '{tmp_path}/llm_names.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["token_spans"]).fetchall()
+    got = [tuple(r) for r in catalogue.token_spans(spark, str(tmp_path)).select("doc_id", "chunk", "span", "word", "label", "score").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 2 * (21 + 6)
+
+
 def test_answers(spark):
     rows = [(1, 0, 'Ecco ```json\n[{"original": "Mario Rossi", "replacement": "M. R."}, 3, {"original": "di Roma", "replacement": "X"}, {"original": "Alfa Srl", "replacement": "Ente"}, {"original": 5, "replacement": "Y"}]\n```'), (2, 0, "niente"), (3, 0, None), (4, 0, "[rotto")]
     got = spans.parse_answers(spark.createDataFrame(rows, "doc_id long, chunk int, content string")).collect()

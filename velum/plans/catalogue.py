@@ -214,8 +214,9 @@ def token_spans(spark: SparkSession, d: str) -> DataFrame:
     """Words of the language model's names read as a token model's output, and joined to spans."""
     t = load(spark, d, "llm_names").filter("original is not null")
     words = t.select("doc_id", "chunk", "name_id", F.posexplode(F.filter(F.split("original", " "), lambda w: w != "")).alias("k", "word"))
+    # a place by name and word, not by one number of both: keys are of any size, and names of any length
     tokens = words.select(
-        "doc_id", "chunk", (F.col("name_id") * 100 + F.col("k")).cast("int").alias("idx"), "word",
+        "doc_id", "chunk", F.struct(F.col("name_id").isNull().alias("last"), "name_id", "k").alias("idx"), "word",
         F.when(F.col("k") == 0, F.lit("B-PER")).otherwise(F.lit("I-PER")).alias("label"), (F.lit(1.0) - F.col("k") / 10).alias("score"),
     )
     return spans.aggregate_tokens(tokens.dropDuplicates(["doc_id", "chunk", "idx"]))
